@@ -35,7 +35,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 3000) -> None:
     """Bounds the Arrow batches that go to Python, by rows and where the setting exists by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -54,7 +54,7 @@ def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, t
     return rows.join(F.broadcast(heavy), keys, "inner").unionByName(rest.join(light, keys, how))
 
 
-def pieces(batch: pa.Array, most: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
+def pieces(batch: pa.Array, most: int = 10 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Cuts a string array into runs of about `most` bytes, so that a batch of long texts takes bounded memory; yields (start, run)."""
     sizes = np.zeros(len(batch), np.int64)
     if len(batch):

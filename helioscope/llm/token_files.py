@@ -48,7 +48,7 @@ def frequent_pairs(seq: np.ndarray, least: int, most: int) -> np.ndarray:
     return np.array(chosen, np.uint64)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = 5, most: int = 4096, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int = 3, most: int = 4096, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: each replaces a set of frequent pairs at once by new nonterminals. Gives (rules, spans, symbols)."""
     seq, rules, spans = ids.astype(np.uint32), np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
     for _ in range(rounds):

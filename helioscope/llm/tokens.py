@@ -21,7 +21,7 @@ from .shared import ragged
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LINES = regex.compile(SPLIT.pattern + r"|\n")
 PLAIN = r"^[!-~¡-ÿ]+$"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -69,16 +69,19 @@ class Words:
 
     def of(self, words: pa.Array) -> list[bytes]:
         """The ids of each word as bytes. The first WORDS_KEPT words met are remembered; frequent ones are among them."""
-        names = words.to_pylist()
+        names = words.to_numpy(zero_copy_only=False).tolist()
         found: list = list(map(self.kept.get, names))
-        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_pylist() if self.known else [False] * len(names)
-        for how, kind in ((self._plain, True), (self._any, False)):
-            if new := [i for i, x in enumerate(found) if x is None and plain[i] is kind]:
-                made = how([names[i] for i in new])
-                for i, x in zip(new, made, strict=True):
+        new = np.array([i for i, x in enumerate(found) if x is None], np.int64)
+        some = words.take(pa.array(new))
+        plain = pc.and_(pc.match_substring_regex(some, PLAIN), pc.invert(pc.match_substring(some, "<|"))).to_numpy(zero_copy_only=False).astype(bool) & self.known
+        for how, chosen in ((self._plain, new[plain].tolist()), (self._any, new[~plain].tolist())):
+            if chosen:
+                own = [names[i] for i in chosen]
+                made = how(own)
+                for i, x in zip(chosen, made, strict=True):
                     found[i] = x
                 if (room := WORDS_KEPT - len(self.kept)) > 0:
-                    self.kept.update((names[i], x) for i, x in zip(new[:room], made, strict=False))
+                    self.kept.update(zip(own[:room], made, strict=False))
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
