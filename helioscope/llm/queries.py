@@ -72,5 +72,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, docs.filter(~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_token_files, op8_quality_rules, op10_language)}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_token_files, op5_pii, op6_html_text, op8_quality_rules, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
