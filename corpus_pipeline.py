@@ -3,24 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from helioscope.llm.decontaminate import without_leaks
+from helioscope.llm.line_dedup import dedup_lines
+from helioscope.llm.near_dedup import near_duplicates
 from helioscope.llm.packing import pack
-from helioscope.llm.queries import END_ID, tokenizer
+from helioscope.llm.quality import judge
+from helioscope.llm.queries import END_ID, table, tokenizer
+from helioscope.llm.shared import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, with the columns they came with."""
+    return judge(docs, table(spark, sf_dir, "labels"), docs.columns, keep_only=True)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents without lines whose key ten documents share; n_chars follows the text."""
+    cut = dedup_lines(docs, min_docs=10, min_chars=1)
+    return cut.select(*[F.when(F.col("bits").isNull(), F.col(c)).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the least doc_id."""
+    kept = materialize(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.lit(1).alias("_n")).drop("_n"), "kept")
+    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the training sequences."""
     return pack(docs, tokenizer(), END_ID)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written as Parquet and read again."""
-    from helioscope.llm.shared import materialize
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
