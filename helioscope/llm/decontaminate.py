@@ -67,10 +67,13 @@ class Items:
         self.pad = self.size - 1
         self.most = [int(rate * len(w)) for w in self.items]
         self.pairs = np.unique(np.concatenate([w[:-1] * self.size + w[1:] for w in self.items] or [np.empty(0, np.int64)]))
+        self.marks = np.zeros(1 << 22, bool)  # a quick test before the search among the pairs
+        self.marks[self._mark(self.pairs)] = True
         by_size: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(self.items):
             by_size[len(w)].append(k)
         self.by_size = dict(by_size)
+        self.of_size = {n: np.isin(self.pairs, np.concatenate([self.items[k][:-1] * self.size + self.items[k][1:] for k in members])) for n, members in by_size.items()}
         self.rng = np.random.default_rng(seed)
         self.bits = self.rng.integers(0, 2, (WALKS, 3 * max(map(len, self.items), default=1), self.size), np.uint8)
         self.samples: dict[int, np.ndarray] = {}
@@ -80,11 +83,11 @@ class Items:
 
     def embed(self, windows: np.ndarray, n: int) -> np.ndarray:
         """[walk, window, step] words; windows: rows of word codes, padded."""
-        out = np.empty((WALKS, len(windows), 3 * n), np.int64)
+        out = np.empty((WALKS, len(windows), 2 * n), np.int64)
         rows = np.arange(len(windows))
         for r in range(WALKS):
             at = np.zeros(len(windows), np.int64)
-            for step in range(3 * n):
+            for step in range(2 * n):  # samples are taken from these
                 w = np.where(at < windows.shape[1], windows[rows, np.minimum(at, windows.shape[1] - 1)], self.pad)
                 out[r, :, step] = w
                 at += self.bits[r, step][w]
@@ -124,32 +127,54 @@ class Items:
             for k, key in zip(members, row, strict=True):
                 self.tables[n][t][key].append(k)
 
-    def search(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) of the best stretch of each item found: least distance, then first."""
-        if not len(self.items):
+    @staticmethod
+    def _mark(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+    def starts(self, n: int, d: int, words: np.ndarray, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Where windows of n + d words hold n - 1 - 2 * d pairs of the items of n words; all known words if that is none."""
+        need = n - 1 - 2 * d
+        if need <= 0:
+            return np.flatnonzero(words > 0)
+        mine = at[self.of_size[n][pair]]
+        if len(mine) < need:
+            return mine[:0]
+        first, last = mine[: len(mine) - need + 1], mine[need - 1 :]
+        near = last + 1 - first < n + d  # the pairs first .. last fit into one window
+        starts = [np.arange(b + 2 - n - d, a + 1) for a, b in zip(first[near].tolist(), last[near].tolist(), strict=True)]
+        return np.unique(np.maximum(np.concatenate(starts), 0)) if starts else mine[:0]
+
+    def search(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, distance, start, end) of the best stretch of each item in each text: least distance, then first. words: all texts' words, one after another, ends: where each ends."""
+        if not len(self.items) or not len(words):
             return []
-        hit = np.isin(words[:-1] * self.size + words[1:], self.pairs) if len(words) > 1 else np.zeros(0, bool)
-        known = np.concatenate([[0], np.cumsum(words > 0)])
-        pairs = np.concatenate([[0], np.cumsum(hit)])
-        best: dict[int, tuple[int, int, int]] = {}
+        known = words > 0
+        at = np.flatnonzero(known[:-1] & known[1:])
+        code = words[at] * self.size + words[at + 1]
+        some = self.marks[self._mark(code)]
+        at, code = at[some], code[some]
+        pair = np.searchsorted(self.pairs, code)
+        real = self.pairs[np.minimum(pair, len(self.pairs) - 1)] == code if len(self.pairs) else np.zeros(len(code), bool)
+        at, pair = at[real], pair[real]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, members in self.by_size.items():
             d = self.most[members[0]]
-            start = np.arange(len(words))
-            end = np.minimum(start + n + d, len(words))
-            ok = (known[end] - known[start] >= n - d) & (pairs[np.maximum(end - 1, start)] - pairs[start] >= n - 1 - 2 * d)
-            if not len(start := start[ok]):
-                continue
+            start = self.starts(n, d, words, at, pair)
             for a in range(0, len(start), 4096):
                 part = start[a : a + 4096]
+                text = np.searchsorted(ends, part, "right")
                 place = part[:, None] + np.arange(n + d)[None, :]
-                windows = np.where(place < len(words), words[np.minimum(place, len(words) - 1)], self.pad)
-                met = {(i, k) for t, row in enumerate(self.keys(windows, n, self.samples[n])) for i, key in enumerate(row) for k in self.tables[n][t].get(key, ())}
+                windows = np.where(place < ends[text][:, None], words[np.minimum(place, len(words) - 1)], self.pad)
+                met = {(i, k) for t, row in enumerate(self.keys(windows, n, self.samples[n])) for i, key in enumerate(row) if key in self.tables[n][t] for k in self.tables[n][t][key]}
                 for i, k in sorted(met):
-                    s = int(part[i])
-                    distance, length = edit_distance(self.items[k], words[s : s + n + d], d)
-                    if distance <= d and (k not in best or (distance, s) < best[k][:2]):
-                        best[k] = (distance, s, s + length)
-        return [(k, *v) for k, v in sorted(best.items())]
+                    s, own = int(part[i]), int(text[i])
+                    if best.get((own, k), (1, 0))[:2] < (1, s):
+                        continue  # nothing beats an exact stretch that comes before
+                    distance, length = edit_distance(self.items[k], words[s : min(s + n + d, int(ends[own]))], d)
+                    if distance <= d and ((own, k) not in best or (distance, s) < best[own, k][:2]):
+                        best[own, k] = (distance, s, s + length)
+        base = np.concatenate([[0], ends])
+        return [(own, k, v[0], v[1] - int(base[own]), v[2] - int(base[own])) for (own, k), v in sorted(best.items())]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, recall: float = 0.99, block: int = 5000) -> DataFrame:
@@ -175,8 +200,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, recall: flo
                     flat, ends = words_of(texts)
                     code = pc.fill_null(pc.index_in(flat, index.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
                     ids = batch.column("doc_id").slice(first, len(texts)).to_pylist()
-                    for doc, words in zip(ids, np.split(code, ends[:-1]), strict=True):
-                        out += [(doc, index.ids[k], distance, len(index.items[k]), a, b) for k, distance, a, b in index.search(words)]
+                    out += [(ids[i], index.ids[k], distance, len(index.items[k]), a, b) for i, k, distance, a, b in index.search(code, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 6)], [x.split()[0] for x in MATCHES.split(", ")])
 
         return docs.select("doc_id", "text").mapInArrow(run, MATCHES)
