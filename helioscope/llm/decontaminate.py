@@ -61,7 +61,7 @@ class Items:
         flat, ends = words_of(pa.array(texts, pa.string()))
         self.vocabulary = pc.unique(flat)
         code = pc.index_in(flat, self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1  # 0: a word of no item
-        own = [(i, w) for i, w in zip(ids, np.split(code, ends[:-1]), strict=True) if len(w)]
+        own = [(i, w) for i, w in zip(ids, np.split(code, ends[:-1]) if ids else [], strict=True) if len(w)]
         self.ids, self.items = [i for i, _ in own], [w for _, w in own]
         self.size = len(self.vocabulary) + 2
         self.pad = self.size - 1
@@ -168,7 +168,7 @@ class Items:
                 met = {(i, k) for t, row in enumerate(self.keys(windows, n, self.samples[n])) for i, key in enumerate(row) if key in self.tables[n][t] for k in self.tables[n][t][key]}
                 for i, k in sorted(met):
                     s, own = int(part[i]), int(text[i])
-                    if best.get((own, k), (1, 0))[:2] < (1, s):
+                    if (own, k) in best and best[own, k][:2] <= (0, s):
                         continue  # nothing beats an exact stretch that comes before
                     distance, length = edit_distance(self.items[k], words[s : min(s + n + d, int(ends[own]))], d)
                     if distance <= d and ((own, k) not in best or (distance, s) < best[own, k][:2]):
