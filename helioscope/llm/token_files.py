@@ -112,15 +112,20 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end
         ns: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         for batch in batches:
-            for first, texts in pieces(batch.column("text"), 2 << 20):
+            for first, texts in pieces(batch.column("text"), 8 << 20):
                 got, n = encode_documents(tokenizer, texts, end_id)
-                docs += batch.column("doc_id").slice(first, len(n)).to_pylist()
-                ns.append(n)
-                ids.append(got)
-                held += len(got)
-                if held >= shard_ids:
-                    yield shard(part, k, at, docs, ns, ids)
-                    k, at, held, docs, ns, ids = k + 1, at + held, 0, [], [], []
+                names, ends, done = batch.column("doc_id").slice(first, len(n)).to_pylist(), np.cumsum(n), 0
+                while done < len(n):
+                    before = int(ends[done - 1]) if done else 0
+                    last = min(len(n), int(np.searchsorted(ends, before + shard_ids - held)) + 1)
+                    docs += names[done:last]
+                    ns.append(n[done:last])
+                    ids.append(got[before : ends[last - 1]])
+                    held += int(ends[last - 1]) - before
+                    done = last
+                    if held >= shard_ids:
+                        yield shard(part, k, at, docs, ns, ids)
+                        k, at, held, docs, ns, ids = k + 1, at + held, 0, [], [], []
         if docs:
             yield shard(part, k, at, docs, ns, ids)
 
