@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import heavy_join, materialize, pieces, small_batches
+from .shared import heavy_join, materialize, pieces, small_batches, trim
 
 SHINGLE, BANDS, WIDTH = 5, 30, 4
 REGISTERS = BANDS * WIDTH
@@ -126,6 +126,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = k[a]
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    trim()
 
 
 def in_blocks(rows: DataFrame, n_blocks: str) -> DataFrame:

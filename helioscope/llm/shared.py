@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,7 +39,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 3000) -> None:
     """Bounds the Arrow batches that go to Python, by rows and where the setting exists by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: idle Python workers and the driver would otherwise keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back this way
+        return
 
 
 def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
@@ -54,7 +64,7 @@ def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, t
     return rows.join(F.broadcast(heavy), keys, "inner").unionByName(rest.join(light, keys, how))
 
 
-def pieces(batch: pa.Array, most: int = 10 << 20) -> Iterator[tuple[int, pa.Array]]:
+def pieces(batch: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Cuts a string array into runs of about `most` bytes, so that a batch of long texts takes bounded memory; yields (start, run)."""
     sizes = np.zeros(len(batch), np.int64)
     if len(batch):
@@ -66,6 +76,7 @@ def pieces(batch: pa.Array, most: int = 10 << 20) -> Iterator[tuple[int, pa.Arra
         n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most)))
         yield at, batch.slice(at, n)
         at += n
+    trim()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
