@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -137,6 +137,11 @@ def in_blocks(rows: DataFrame, n_blocks: str) -> DataFrame:
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
 
 
+def block_count(amount: str, block: int) -> Column:
+    """Into how many blocks an amount is cut: one if it fits into a block, else so many that a pair of blocks does."""
+    return F.when(F.col(amount) <= block, 1).otherwise(F.ceil(2 * F.col(amount) / block))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n, c1, c2, sketch): a row a document; c1 and c2 digest its set."""
 
@@ -184,7 +189,7 @@ def plausible_edges(nodes: DataFrame, plausible: float, block: int) -> DataFrame
 
     placed = materialize(nodes.select("row", "sketch").mapInArrow(band, "band int, key long, row long"), "bands")
     sizes = placed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = heavy_join(placed, materialize(sizes.withColumn("blocks", F.ceil(F.col("size") / block)), "buckets"), ["band", "key"], "size", placed.count())
+    met = heavy_join(placed, materialize(sizes.withColumn("blocks", block_count("size", block)), "buckets"), ["band", "key"], "size", placed.count())
     met = in_blocks(met, "blocks").join(nodes.select("row", "n", "sketch"), "row").select("band", "key", "i", "j", "row", "n", "sketch")
     return met.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "row").mapInArrow(join, "a long, b long")
 
@@ -248,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, plausible: float | None
     family = components(plausible_edges(nodes, least, block), "families")
     family = materialize(family.unionByName(family.select(F.col("root").alias("row"), "root").distinct()), "families")
     sized = nodes.select("row", "doc_id", "n", "c1", "c2").join(family, "row").withColumnRenamed("root", "fam")
-    blocks = sized.groupBy("fam").agg(F.count("*").alias("size"), F.sum("n").alias("all")).withColumn("blocks", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all") / 2_000_000)))
+    blocks = sized.groupBy("fam").agg(F.count("*").alias("size"), F.sum("n").alias("all")).withColumn("blocks", F.greatest(block_count("size", block), block_count("all", 2_000_000)))
     members = heavy_join(sized, materialize(blocks.drop("all"), "family-blocks"), ["fam"], "size", sized.count())
     links = materialize(exact_edges(docs, materialize(in_blocks(members, "blocks"), "members"), percent, 100, block), "links")
     done = links.filter("not cut").select(F.col("a").alias("row"), F.col("b").alias("root"))
