@@ -91,9 +91,9 @@ def rolling_mean_shift(spark, d):
     return totals(spark, d).select(*K, "total", sequences.trailing_mean("total", w, 7).alias("trailing"))
 
 
-@query(f"""WITH {STATES}, {TOTALS}, b AS (SELECT netuid, t, total, list(total) OVER f AS b, count(*) OVER f AS k FROM d WINDOW f AS (PARTITION BY netuid ORDER BY t ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+@query(f"""WITH {STATES}, {TOTALS}, b AS (SELECT netuid, t, total, list(CAST(total AS DOUBLE)) OVER f AS b, count(*) OVER f AS k, row_number() OVER (PARTITION BY netuid ORDER BY t) AS place FROM d WINDOW f AS (PARTITION BY netuid ORDER BY t ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
 m AS (SELECT *, CASE WHEN k >= 3 THEN CAST(list_aggregate(b, 'median') AS DOUBLE) END AS median FROM b), a AS (SELECT *, CASE WHEN k >= 3 THEN CAST(list_aggregate(list_transform(b, lambda v: abs(v - median)), 'median') AS DOUBLE) END AS mad FROM m)
-SELECT netuid, t, total, members, median, mad, (total - median) / (1.4826 * nullif(mad, 0)) AS z FROM a JOIN (SELECT netuid, t, members FROM d) USING (netuid, t)""")
+SELECT netuid, t, total, members, median, mad, CASE WHEN place > 7 THEN (total - median) / CASE WHEN mad > 0 THEN 1.4826 * mad ELSE greatest(sqrt(greatest(k * list_sum(list_transform(b, lambda v: v * v)) - list_sum(b) * list_sum(b), 0)) / k, 1e-9) END END AS z FROM a JOIN (SELECT netuid, t, members FROM d) USING (netuid, t)""")
 def trailing_robust_z(spark, d):
     return sequences.trailing_robust_z(totals(spark, d), ["netuid"], "t", "total", 7)
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import incident_queries as incidents
 from .plans import queries as plans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(plans.QUERIES)
+    return plans.QUERIES | incidents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(plans.SQL)
+    return plans.SQL | incidents.SQL

@@ -6,8 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from helioscope.plans.queries import QUERIES, SQL
+from helioscope import registry
 
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
