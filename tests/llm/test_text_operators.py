@@ -147,6 +147,26 @@ def test_quality_rejects_what_labels_show(spark):
     assert quality.judge(docs, labels.limit(0), ["doc_id"], keep_only=True).count() == 1000
 
 
+def test_quality_judges_small_languages(spark):
+    r = random.Random(3)
+    toxic = lambda i: i % 10 == 0
+    text = lambda i: sentence(r, 80) + " vile foul" * 4 * toxic(i)
+    docs = made(spark, [(i, text(i)) for i in range(1500)]).union(made(spark, [(i, text(i)) for i in range(1500, 1560)], "de"))
+    labels = spark.createDataFrame([(i, 1, int(toxic(i))) for i in range(1560)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.judge(docs, labels, ["doc_id"]).collect()}
+    assert not any(got[i].kept for i in range(0, 1560, 10))
+    assert all(got[i].kept for i in range(1500, 1560) if not toxic(i))
+
+
+def test_quality_sample_and_guard():
+    import numpy as np
+
+    assert quality.quota([10, 500, 2000], 600) == 295 and quality.quota([10, 5], 600) == 10 and quality.quota([], 600) == 1
+    values = np.arange(1, 201) / 200  # 200 clean rows may lose 5 at a risk of 0.01, but not 6: the probability of that is 0.016
+    assert quality.guarded(0.5, values, 0.01, 0.05) > 0.97 and quality.guarded(0.99, values, 0.01, 0.05) == 0.99
+    assert quality.guarded(0.5, values[:0], 0.01, 0.05) == 0.5
+
+
 def test_pii_matches_the_patterns():
     r = random.Random(5)
     digits = lambda s: re.sub("[^0-9]", "", s)
