@@ -158,6 +158,17 @@ def test_quality_judges_small_languages(spark):
     assert all(got[i].kept for i in range(1500, 1560) if not toxic(i))
 
 
+def test_quality_marks_words_by_language():
+    text = lambda i, bad: "plain text" + f" {bad}, gift" * (i % 5 == 0)
+    rows = [("en", text(i, "Foul"), i % 5 == 0) for i in range(1000)] + [("es", text(i, "malo"), i % 5 == 0) for i in range(30)] + [("de", "gift gut", False)] * 100
+    marked = quality.marked_words(rows)
+    assert marked == {"en": {"foul", "gift"}, "es": {"malo", "gift"}, "": {"foul", "malo"}}
+    import pyarrow as pa
+
+    ratios = quality.measures(pa.array(["malo foul gift x"] * 3 + [None]), marked, pa.array(["es", "en", "de", "es"]))[1]
+    assert ratios[:, -1].tolist() == [0.5, 0.5, 0.5, 0] and quality.measures(pa.array(["gift"] * 2), marked, pa.array(["de", "en"]))[1][:, -1].tolist() == [0, 1]
+
+
 def test_quality_sample_and_guard():
     import numpy as np
 
