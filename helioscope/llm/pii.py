@@ -20,6 +20,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+LOGIN_END = re.compile(r"[/ \t\n\r\x0b\x0c<>\"']")
 SCHEMES = ["http://", "https://", "ftp://", "ssh://"]
 CUES = ["iban", "ssn", "account", "acct", "passport", "konto", "compte", "cuenta", "social security"]
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -84,10 +85,8 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def login(text: str, after: int, start: int) -> tuple[int, int] | None:
-    """scheme://user:password@host: the part up to the at-sign, which must come before any slash or space."""
-    end = after
-    while end < len(text) and end - after < 200 and text[end] not in "/ \t\n\r\x0b\x0c<>\"'":
-        end += 1
+    """scheme://user:password@host: the part up to the at-sign, which must come before any slash or space. Every scheme ends in a slash, so no part of the text is looked at twice."""
+    end = m.start() if (m := LOGIN_END.search(text, after)) else len(text)
     at = text.rfind("@", after, end)
     return (start, at) if at > after and ":" in text[after:at] else None
 

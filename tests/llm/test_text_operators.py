@@ -198,6 +198,16 @@ def test_pii_expands_cues(spark):
     assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and got[1].spans == "" and got[2].n_account == 2
 
 
+def test_pii_long_logins():
+    word = "eyJhbGciOi.JIUzI1-" * 60
+    text = f"git clone https://oauth2:{word}@host.org/x.git, then http://a/" + "b:" * 300 + "@c"
+    end = text.index("@host")
+    assert [x for x in pii.spans(text) if x[1] == 4] == [(10, 4, end)]
+    assert word not in pii.redact(text) and "<url_login>" in pii.redact(text)
+    many = "http://" * 100_000 + "u:p@h"
+    assert [x for x in pii.spans(many) if x[1] == 4] == [(len(many) - 12, 4, len(many) - 2)]
+
+
 def test_page_text(spark):
     page = "<html><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two<b>x</b><p>three<div class='comments'>no</div></article><footer>f</footer>"
     plain = "<body><div>Same top</div><p>{}</p><div>Same end</div>"
