@@ -7,7 +7,8 @@ item of n words is found where a stretch of words has an edit distance of at mos
 2. Items and windows of item size are embedded by the same random walks: at each step the current word is copied, and a
    random bit of step and word says whether to advance. Sampled coordinates, several tables of them, are hashed; a window and an
    item that agree in any table are a candidate. The number of tables is raised until simulated items with
-   all edits they may have are recalled at the target rate.
+   all edits they may have are recalled at the target rate. Sizes that don't reach it with MOST_TABLES (long items) aren't
+   hashed: for each of their items, what holds enough of its pairs goes straight to the edit distance.
 3. A candidate's exact edit distance, over every end of the stretch, decides.
 """
 
@@ -22,11 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, small_batches
+from .shared import pieces, ragged, small_batches
 
 NOT_WORD = r"[^\p{L}\p{N}\p{M}]+"
 MATCHES = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
 WALKS = 4
+MOST_TABLES = 256
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -54,6 +56,16 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
     return (int(row[end]), end) if row[end] <= most else (most + 1, 0)
 
 
+def start_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each start in text, the least edit distance of item to a stretch from there on: one pass from the back, in which a stretch may end anywhere."""
+    back, steps = text[::-1], np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, w in enumerate(item[::-1].tolist(), 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (back != w))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return row[:0:-1]
+
+
 class Items:
     """One block of items, ready for search."""
 
@@ -77,7 +89,7 @@ class Items:
         self.rng = np.random.default_rng(seed)
         self.bits = self.rng.integers(0, 2, (WALKS, 3 * max(map(len, self.items), default=1), self.size), np.uint8)
         self.samples: dict[int, np.ndarray] = {}
-        self.tables: dict[int, list[dict[bytes, list[int]]]] = {}
+        self.tables: dict[int, list[dict[bytes, list[int]]]] = {}  # none for a size whose recall is too low
         for n, members in self.by_size.items():
             self._fit(n, members, recall)
 
@@ -118,8 +130,10 @@ class Items:
         while True:
             samples = np.stack([np.sort(np.random.default_rng(n * 1000 + t).choice(2 * n, min(3, 2 * n), replace=False)) for t in range(tables)])
             a, b = self.keys(whole, n, samples), self.keys(edited, n, samples)
-            if np.mean([any(b[t][i] == a[t][k] for t in range(tables)) for i, k in enumerate(truth)]) >= recall or tables >= 256:
+            if np.mean([any(b[t][i] == a[t][k] for t in range(tables)) for i, k in enumerate(truth)]) >= recall:
                 break
+            if tables >= MOST_TABLES:
+                return
             tables *= 2
         self.samples[n] = samples
         self.tables[n] = [defaultdict(list) for _ in samples]
@@ -131,12 +145,11 @@ class Items:
     def _mark(pairs: np.ndarray) -> np.ndarray:
         return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
-    def starts(self, n: int, d: int, words: np.ndarray, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Where windows of n + d words hold n - 1 - 2 * d pairs of the items of n words; all known words if that is none."""
+    def starts(self, n: int, d: int, words: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """Where windows of n + d words hold n - 1 - 2 * d of the pairs at `mine`; all known words if that is none."""
         need = n - 1 - 2 * d
         if need <= 0:
             return np.flatnonzero(words > 0)
-        mine = at[self.of_size[n][pair]]
         if len(mine) < need:
             return mine[:0]
         first, last = mine[: len(mine) - need + 1], mine[need - 1 :]
@@ -144,6 +157,20 @@ class Items:
         starts = [np.arange(b + 2 - n - d, a + 1) for a, b in zip(first[near].tolist(), last[near].tolist(), strict=True)]
         return np.unique(np.maximum(np.concatenate(starts), 0)) if starts else mine[:0]
 
+    def _search_exactly(self, k: int, d: int, words: np.ndarray, ends: np.ndarray, start: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Puts item k's best stretch in each text into best. Near starts of one text are compared at once."""
+        reach, text = len(self.items[k]) + d, np.searchsorted(ends, start, "right")
+        cut = np.flatnonzero((np.diff(start) > reach) | (np.diff(text) > 0)) + 1
+        for first, last in zip([0, *cut.tolist()], [*cut.tolist(), len(start)], strict=True):
+            if first == last:
+                continue
+            own, s = int(text[first]), int(start[first])
+            distances = start_distances(self.items[k], words[s : min(int(start[last - 1]) + reach, int(ends[own]))])
+            s += int(distances.argmin())
+            distance = int(distances.min())
+            if distance <= d and ((own, k) not in best or (distance, s) < best[own, k][:2]):
+                best[own, k] = (distance, s, s + edit_distance(self.items[k], words[s : min(s + reach, int(ends[own]))], d)[1])
+
     def search(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the best stretch of each item in each text: least distance, then first. words: all texts' words, one after another, ends: where each ends."""
         if not len(self.items) or not len(words):
@@ -157,9 +184,17 @@ class Items:
         real = self.pairs[np.minimum(pair, len(self.pairs) - 1)] == code if len(self.pairs) else np.zeros(len(code), bool)
         at, pair = at[real], pair[real]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        by_pair = np.argsort(pair, kind="stable")
+        bounds = np.searchsorted(pair[by_pair], np.arange(len(self.pairs) + 1))
         for n, members in self.by_size.items():
             d = self.most[members[0]]
-            start = self.starts(n, d, words, at, pair)
+            if n not in self.tables:
+                for k in members:
+                    own = np.searchsorted(self.pairs, np.unique(self.items[k][:-1] * self.size + self.items[k][1:]))
+                    mine = np.sort(at[by_pair[ragged(bounds[own], bounds[own + 1] - bounds[own])]])
+                    self._search_exactly(k, d, words, ends, self.starts(n, d, words, mine), best)
+                continue
+            start = self.starts(n, d, words, at[self.of_size[n][pair]])
             for a in range(0, len(start), 4096):
                 part = start[a : a + 4096]
                 text = np.searchsorted(ends, part, "right")

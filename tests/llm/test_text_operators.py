@@ -118,6 +118,39 @@ def test_leaks(spark):
     assert sorted(x.doc_id for x in without_leaks(made(spark, texts), table).collect()) == [0, 3, 4, 6]
 
 
+def edited(r, words, n):
+    w = list(words)
+    for _ in range(n):
+        at = r.randrange(len(w))
+        w[at : at + 1] = r.choice([[], ["odd"], [w[at], "odd"]])
+    return " ".join(w)
+
+
+def test_leaks_of_long_items(spark):
+    r = random.Random(8)
+    items = [(0, sentence(r, 1200)), (1, sentence(r, 40))]
+    texts = [(i, sentence(r, 50) + " " + edited(r, items[0][1].split(), 120) + " " + sentence(r, 50)) for i in range(40)] + [(40, sentence(r, 3000))]
+    got = {x.doc_id: x for x in find_leaks(made(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(range(40)) and all(x.item_id == 0 and x.distance <= 120 for x in got.values())
+
+
+def test_leaks_without_hash_equal_brute_force(spark):
+    import numpy as np
+
+    r = random.Random(9)
+    items = [(i, " ".join(r.choice("abcdef") for _ in range(20 + i % 2))) for i in range(4)]
+    texts = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(60))) + " " + edited(r, items[i % 4][1].split(), i % 4) + " a b" * (i % 3)) for i in range(40)]
+    want = set()
+    for d, t in texts:
+        for i, x in items:
+            w, own = np.array(t.split()), np.array(x.split())
+            found = [(*edit_distance(own, w[s : s + 30], 2), s) for s in range(len(w))]
+            if (best := min((k, s, s + size) for k, size, s in found))[0] <= 2:
+                want.add((d, i, *best))
+    got = find_leaks(made(spark, texts), spark.createDataFrame(items, "item_id long, text string"), recall=1.1).collect()
+    assert {(x.doc_id, x.item_id, x.distance, x.start_word, x.end_word) for x in got} == want and len(want) > 20
+
+
 def test_edit_distance():
     import numpy as np
 
