@@ -26,9 +26,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id."""
-    kept = materialize(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.lit(1).alias("_n")).drop("_n"), "kept")
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """One row of each group of near copies, that of the least doc_id; of rows that share it, one. Rows without words are no copies, so all stay."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), "_row"))
+    kept = materialize(groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least.alias("least")).select("least._row"), "kept")
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

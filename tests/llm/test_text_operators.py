@@ -94,6 +94,17 @@ def test_near_duplicates(spark, texts, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    a, b, c, d = (sentence(r, 60) for _ in range(4))
+    texts = [(1, a), (1, a), (2, a + " more"), (3, b), (3, a), (None, c), (None, c), (None, d), (7, d), (8, None), (8, " "), (9, d + " more")]
+    got = corpus_pipeline.near_dedup(spark, made(spark, texts), "")
+    assert got.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter([(1, a), (3, b), (None, c), (7, d), (8, None), (8, " ")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), *[(200, i) for i in range(201, 260)]]
     got = {r.row: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
