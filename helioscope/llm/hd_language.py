@@ -41,7 +41,9 @@ TABLE = symbol_table()
 def grams(text: str) -> np.ndarray:
     """The codes of a text's letter trigrams, words bounded by one blank; empty if it has no letter."""
     points = np.frombuffer(unicodedata.normalize("NFC", text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(points < 65536, TABLE[np.minimum(points, 65535)], 27 + points % 37).astype(np.int32)
+    s = TABLE[np.minimum(points, 65535)].astype(np.int32)
+    if len(above := np.flatnonzero(points > 65535)):  # emoji are no letters
+        s[above] = [27 + p * 2654435761 % 2**32 % 37 if chr(p).isalpha() else 0 for p in points[above].tolist()]
     s = np.concatenate([[0], s, [0]])
     s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
     if len(s) < 3 or not s.any():
@@ -111,8 +113,10 @@ def identify(docs: DataFrame, train: DataFrame, dim: int = 2048) -> DataFrame:
     """docs' columns doc_id and text's language: (doc_id, lang_pred, score).
 
     Learns from all rows of train with text and lang. A null text, one without a letter, and any text if nothing
-    was learned, is `und` with score 0. Score: half of 1 plus the cosine with the best profile; ties go
-    to the first language by name. Rows are judged each by itself; only `text` is read for it.
+    was learned, is `und` with score 0; signs, digits and emoji are no letters. Score: half of 1 plus the cosine with
+    the best profile; ties go to the first language by name. Rows are judged each by itself, whole texts of any length, so
+    repeated rows agree; only `text` is read for it. Other columns are ignored; an empty table gives no rows, an
+    empty `train` learns nothing.
     """
     names, products = profiles(train, dim)
     table = docs.sparkSession.sparkContext.broadcast(products)  # at most 1 MB a language

@@ -1,4 +1,4 @@
-"""Personal data by anchor expansion: an Aho-Corasick automaton finds at-signs, schemes and cues, and local parsers expand each to a checked span."""
+"""Personal data by anchor expansion: an Aho-Corasick automaton finds at-signs, plus signs, digits, schemes and cues, and local parsers expand each to a checked span."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, words in (("@", ["@"]), ("scheme", SCHEMES), ("cue", CUES)):
+    for kind, words in (("@", ["@"]), ("+", ["+"]), ("digit", list("0123456789")), ("scheme", SCHEMES), ("cue", CUES)):
         for w in words:
             a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -60,28 +60,27 @@ def emails(text: str, signs: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def addresses(text: str) -> list[tuple[int, int]]:
-    """Every four parts of a run of dotted numbers, if all are at most 255."""
+def address(run: str, at: int) -> list[tuple[int, int]]:
+    """Every four parts of a run of dotted numbers that begins at `at`, if all are at most 255."""
     found = []
-    for m in DOTTED.finditer(text):
-        if (run := m[0]).count(".") < 3:
-            continue
-        parts, at = run.split("."), m.start()
-        for i in range(0, len(parts) - 3, 4):
-            four = parts[i : i + 4]
-            size = sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or 0) <= 255 for p in four):
-                found.append((at, at + size))
-            at += size + 1
+    if run.count(".") < 3:
+        return found
+    parts = run.split(".")
+    for i in range(0, len(parts) - 3, 4):
+        four = parts[i : i + 4]
+        size = sum(map(len, four)) + 3
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or 0) <= 255 for p in four):
+            found.append((at, at + size))
+        at += size + 1
     return found
 
 
-def cards(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CARD.finditer(text) if 12 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d)]
+def is_card(run: str) -> bool:
+    return 12 <= len(digits := run.replace(" ", "").replace("-", "")) <= 19 and luhn(digits)
 
 
-def phones(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in PHONE.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 15] if "+" in text else []
+def is_phone(run: str) -> bool:
+    return 9 <= sum(map(str.isdigit, run)) <= 15
 
 
 def login(text: str, after: int, start: int) -> tuple[int, int] | None:
@@ -102,19 +101,37 @@ def account(text: str, after: int) -> tuple[int, int] | None:
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind's place in KINDS, end), sorted; offsets in code points, ends exclusive."""
+    """(start, kind's place in KINDS, end), sorted; offsets in code points, ends exclusive.
+
+    One pass of the automaton. Each anchor is expanded where it stands; an anchor inside what its kind has already
+    read is passed over, whether that was a match or not, so every kind reads the text at most once.
+    """
     signs, out = [], []
     low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    dotted = card = phone = 0  # how far each kind has read
     for end, (kind, size) in automaton().iter(low):
-        if kind == "@":
+        if kind == "digit":
+            if end >= dotted:
+                m = DOTTED.match(text, end)
+                dotted = m.end()
+                out += [(a, 1, b) for a, b in address(m[0], end)]
+            if end >= card and (m := CARD.match(text, end)):
+                card = m.end()
+                if is_card(m[0]):
+                    out.append((end, 2, card))
+        elif kind == "+":
+            if end >= phone and (m := PHONE.match(text, end)):
+                phone = m.end()
+                if is_phone(m[0]):
+                    out.append((end, 3, phone))
+        elif kind == "@":
             signs.append(end)
         elif kind == "scheme":
             if x := login(text, end + 1, end + 1 - size):
                 out.append((x[0], 4, x[1]))
         elif (end + 1 == len(text) or not text[end + 1].isalpha()) and (end < size or not text[end - size].isalnum()) and (x := account(text, end + 1)):
             out.append((x[0], 5, x[1]))
-    for k, found in enumerate((emails(text, signs), addresses(text), cards(text), phones(text))):
-        out += [(a, k, b) for a, b in found]
+    out += [(a, 0, b) for a, b in emails(text, signs)]
     return sorted(set(out))
 
 

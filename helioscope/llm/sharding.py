@@ -35,7 +35,7 @@ def shard(docs: DataFrame, shards: int = 16, units: int = 1 << 15) -> DataFrame:
     equal texts with more than total / units bytes is one by itself (at most `units` of them), the others are
     joined by hash into `units` bundles. Both lists are bounded, so they are scheduled on the driver and broadcast.
     Null and empty texts form one group of size 1 each. Repeated rows count each; a null doc_id stays null; other
-    columns are ignored. No document is split, so one group larger than a shard's share makes that shard larger.
+    columns are ignored; an empty table gives no rows. Texts of any length are one document, never split, so one group larger than a shard's share makes that shard larger. Units of equal size go in the order of their names.
     Slots follow the order of reading; they are gapless in each shard.
     """
     spark = docs.sparkSession
@@ -65,7 +65,7 @@ def shard(docs: DataFrame, shards: int = 16, units: int = 1 << 15) -> DataFrame:
             seen += count
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(k), part, np.int32)), pa.array(local)], [*batch.schema.names, "part", "local"])
 
-    small_batches(spark, 10_000)
+    small_batches(spark)
     table = materialize(dealt.mapInArrow(number, LOCAL), "dealt")
     counts = sorted((r["shard"], r["part"], r["count"]) for r in table.groupBy("shard", "part").count().collect())
     first = []

@@ -9,11 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that hold more than this share of all rows are joined by broadcast: there can be at most 1 / share of them.
 HEAVY_SHARE = 1 / 2000
+#: No task joins more rows of one key than about this many.
+ROWS_A_TASK = 1_000_000
+#: Paths of the tables written so far in this process.
+WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,12 +37,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table of the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation, and two passes see the same rows in the same order."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 3000) -> None:
-    """Bounds the Arrow batches that go to Python, by rows and where the setting exists by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release_tables(spark: SparkSession) -> int:
+    """Deletes the tables that materialize() wrote in this process, and says how many. To be called once no DataFrame over them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
+def column(name: str) -> Column:
+    """A column by its plain name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column of df has: own columns never clash with given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that go to Python by rows and bytes: the same bounds for every operator, so the order of calls doesn't matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
@@ -54,13 +85,18 @@ def trim() -> None:
 def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Joins rows with keyed (one row a key; column `count` has the key's number of rows in `rows`, of `total`).
 
-    Keys above HEAVY_SHARE of the total, of which there are at most 1 / HEAVY_SHARE, are broadcast;
-    no other key can fill a task, so the rest is shuffled. `count` is dropped.
+    Keys above HEAVY_SHARE of the total, of which there are at most 1 / HEAVY_SHARE, are broadcast; the rest
+    is shuffled. Where one of those could still hold more than ROWS_A_TASK rows, all are salted: their rows are dealt
+    over as many salts as that takes, and each key's row is repeated for each. `count` is dropped.
     """
     least = max(1000, int(total * HEAVY_SHARE))
     heavy = keyed.filter(F.col(count) > least).drop(count)
     light = keyed.filter(F.col(count) <= least).drop(count)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    if (salts := -(-least // ROWS_A_TASK)) > 1:
+        light = light.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = rest.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+        return rows.join(F.broadcast(heavy), keys, "inner").unionByName(salted.join(light, [*keys, "_salt"], how).drop("_salt"))
     return rows.join(F.broadcast(heavy), keys, "inner").unionByName(rest.join(light, keys, how))
 
 

@@ -202,10 +202,10 @@ def test_quality_judges_small_languages(spark):
     assert all(got[i].kept for i in range(1500, 1560) if not toxic(i))
 
 
-def test_quality_marks_words_by_language():
+def test_quality_marks_words_by_language(spark):
     text = lambda i, bad: "plain text" + f" {bad}, gift" * (i % 5 == 0)
     rows = [("en", text(i, "Foul"), i % 5 == 0) for i in range(1000)] + [("es", text(i, "malo"), i % 5 == 0) for i in range(30)] + [("de", "gift gut", False)] * 100
-    marked = quality.marked_words(rows)
+    marked = quality.marked_words(spark.createDataFrame(rows, "lang string, text string, toxic boolean"))
     assert marked == {"en": {"foul", "gift"}, "es": {"malo", "gift"}, "": {"foul", "malo"}}
     import pyarrow as pa
 
@@ -213,13 +213,44 @@ def test_quality_marks_words_by_language():
     assert ratios[:, -1].tolist() == [0.5, 0.5, 0.5, 0] and quality.measures(pa.array(["gift"] * 2), marked, pa.array(["de", "en"]))[1][:, -1].tolist() == [0, 1]
 
 
-def test_quality_sample_and_guard():
+def test_quality_sample():
+    assert quality.quota([10, 500, 2000], 600) == 295 and quality.quota([10, 5], 600) == 10 and quality.quota([], 600) == 1
+
+
+def test_quality_rule_as_a_whole_keeps_its_risk():
     import numpy as np
 
-    assert quality.quota([10, 500, 2000], 600) == 295 and quality.quota([10, 5], 600) == 10 and quality.quota([], 600) == 1
-    values = np.arange(1, 201) / 200  # 200 clean rows may lose 5 at a risk of 0.01, but not 6: the probability of that is 0.016
-    assert quality.guarded(0.5, values, 0.01, 0.05) > 0.97 and quality.guarded(0.99, values, 0.01, 0.05) == 0.99
-    assert quality.guarded(0.5, values[:0], 0.01, 0.05) == 0.5
+    rng, risk, error, broken = np.random.default_rng(4), 0.05, 0.2, 0
+    for _ in range(120):  # three languages, one of them small; bad rows are only a little worse in every ratio
+        held = []
+        for lang, n in (("en", 900), ("de", 700), ("fr", 60)):
+            clean = rng.random(n) < 0.7
+            values = rng.normal(size=(n, len(quality.RATIOS))) + 2.0 * ~clean[:, None]
+            held += [(lang, bool(o), bool(c), v) for o, c, v in zip(rng.random(n) < 0.25, clean, values, strict=True)]
+        cutoffs = quality.chosen(held, risk, error)
+        fresh = rng.normal(size=(20_000, len(quality.RATIOS)))  # what clean documents look like
+        broken += any((fresh >= np.array(c)).any(1).mean() > risk for c in cutoffs.values())
+        assert set(cutoffs) == {"", "en", "de"} and any(np.isfinite(cutoffs["en"]))
+    assert broken <= 120 * error + 12  # three binomial standard errors above the promise
+
+
+def test_quality_cutoffs_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    clean = rng.random((800, len(quality.RATIOS)))
+    steps = [(0, 0.999), (1, 0.998), (0, 0.995), (2, 0.9), (3, 0.999)]
+    got = quality.controlled(steps, clean, 0.02, 0.05)
+    want, rejected = [float("inf")] * len(quality.RATIOS), set()
+    for j, c in steps:
+        rejected |= {i for i, row in enumerate(clean) if row[j] >= c}
+        k, n = len(rejected), len(clean)
+        from math import comb
+
+        if sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05:  # k or fewer must be unlikely at the risk
+            break
+        want[j] = c
+    assert got == want and got[0] == 0.995 and got[3] == float("inf")
 
 
 def test_pii_matches_the_patterns():
