@@ -1,17 +1,19 @@
 """Main text of web pages: blocks by structure, and page differencing against the nearest URL of the host.
 
-Blocks of menus, headers, footers, sidebars, notices, adverts, forms and comments go by their tags and names. If the
-page marks its article, that is the main text. Where it does not, lines are compared with the page whose URL path
-comes next to it within its host: the two are aligned by longest common subsequence, and shared lines go. Lines inside
-a marked article are never differenced: mirrored articles and quoted passages are shared, too, yet belong to the text.
+Blocks of menus, headers, footers, sidebars, notices, adverts, forms and comments go by their tags and names. The
+lines that remain of every page are compared with those of the page whose URL path comes next to it within its host:
+the two are aligned by longest common subsequence, and shared lines go. One thing is held against that: lines inside a
+marked article stay when they are shared, as mirrored articles and quoted passages are shared, too, yet belong to the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from .shared import materialize, small_batches
 TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<[!?][^>]*+>")
 #: Elements by what they do.
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-DROPPED = frozenset("head nav header footer aside form button select option menu dialog svg canvas video audio object iframe figure fieldset label input".split()) - {"input", "figure"}
+DROPPED = frozenset("head nav header footer aside form button select option menu dialog svg canvas video audio object iframe fieldset label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
@@ -120,10 +122,39 @@ def blocks(page: str) -> list[tuple[bool, str]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of a lie on a longest common subsequence with b (Hunt and Szymanski: time by the number of equal pairs; common ends first)."""
-    from bisect import bisect_left
+def lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The lengths of the longest common subsequences of a with b[:0], b[:1], ... b, a bit a line of b."""
+    places: dict[str, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        if u := v & places.get(x, 0):
+            v = (v + u | v - u) & full
+    bits = np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(1 - np.unpackbits(bits, bitorder="little")[: len(b)].astype(np.int64))])
 
+
+def halved(a: list[str], b: list[str], mark: list[bool], at: int) -> None:
+    """Marks a longest common subsequence by halving a and cutting b where both halves fit best: memory in proportion to the lines."""
+    if not a or not b:
+        return
+    if len(a) == 1:
+        mark[at] = a[0] in b
+        return
+    mid = len(a) // 2
+    cut = int((lengths(a[:mid], b) + lengths(a[mid:][::-1], b[::-1])[::-1]).argmax())
+    halved(a[:mid], b[:cut], mark, at)
+    halved(a[mid:], b[cut:], mark, at + mid)
+
+
+def common(a: list[str], b: list[str], most_pairs: int = 200_000) -> list[bool]:
+    """Which lines of a lie on a longest common subsequence with b.
+
+    Common ends first; then by equal pairs (Hunt and Szymanski) where these are few, and by bits (`halved`) where lines
+    that repeat many times make more than most_pairs of them.
+    """
     mark = [False] * len(a)
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
@@ -136,6 +167,9 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     places: dict[str, list[int]] = {}
     for j in range(len(b) - high - 1, low - 1, -1):
         places.setdefault(b[j], []).append(j)
+    if sum(len(places.get(x, ())) for x in a[low : len(a) - high]) > most_pairs:
+        halved(a[low : len(a) - high], b[low : len(b) - high], mark, low)
+        return mark
     tails: list[int] = []
     nodes: list[tuple] = []
     for i in range(low, len(a) - high):
@@ -153,82 +187,96 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     return mark
 
 
-def main_text(own: list[tuple[bool, str]], near: list[str] | None) -> str:
-    if any(m for m, _ in own):
-        return "\n".join(t for m, t in own if m)
-    lines = [t for _, t in own]
-    if not near:
-        return "\n".join(lines)
-    shared = common(lines, near)
-    kept = [t for t, s in zip(lines, shared, strict=True) if not s]
-    return "\n".join(kept if kept else lines)  # a full copy of its neighbour is no boilerplate
+def main_text(lines: list[str], article: list[bool], near: list[str] | None) -> tuple[str, int]:
+    """(text, how many lines the page shares with its neighbour). With a marked article only its lines are text, and all of them."""
+    shared = common(lines, near) if near else [False] * len(lines)
+    if any(article):
+        kept = [t for t, m in zip(lines, article, strict=True) if m]
+    else:
+        kept = [t for t, s in zip(lines, shared, strict=True) if not s]
+    return "\n".join(kept if kept else lines), sum(shared)  # a full copy of its neighbour is no boilerplate
+
+
+#: kind 0: a finished page; 1: the first page of a part, whose neighbour may lie in another part; 2 and 3: the last and the first lines of a part.
+PLACED = "part int, kind int, host string, page_id long, url string, text string, n_shared long, article array<boolean>, near string"
+
+
+def placed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Differences the pages of one part as they come, sorted by host and path; each holds only its neighbour."""
+    part = TaskContext.get().partitionId()
+    names = [x.split()[0] for x in PLACED.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.bool_()), pa.string()]
+    schema = pa.schema(list(zip(names, types, strict=True)))
+    out: list[tuple] = []
+    first = waiting = last = None  # (host, page_id, url, lines, article)
+
+    def done(page: tuple, near: list[str] | None) -> None:
+        text, n = main_text(page[3], page[4], near)
+        out.append((part, 0, None, page[1], page[2], text, n, None, None))
+
+    for batch in batches:
+        for page_id, url, host, source in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "host", "html")), strict=True):
+            own = blocks(source or "")
+            page = (host, page_id, url, [t for _, t in own], [m for m, _ in own])
+            if waiting is not None:
+                same = waiting[0] == host and host != ""
+                if waiting is first:
+                    out.append((part, 1, host if same else None, *first[1:3], "\n".join(first[3]), None, first[4], "\n".join(page[3]) if same else None))
+                else:
+                    done(waiting, page[3] if same else None)
+                waiting = None
+            if last is None:
+                first = waiting = page
+            elif last[0] == host and host != "":
+                done(page, last[3])
+            else:
+                waiting = page
+            last = page
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], schema=schema)
+        out = []
+    if last is None:
+        return
+    if waiting is not None:
+        if waiting is first:
+            out.append((part, 1, None, *first[1:3], "\n".join(first[3]), None, first[4], None))
+        else:
+            done(waiting, None)
+    out += [(part, 3, first[0], None, None, "\n".join(first[3]), None, None, None), (part, 2, last[0], None, None, "\n".join(last[3]), None, None, None)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row.
+    """(page_id, url, text, n_chars, n_shared) for every row; n_shared: lines shared with the nearest URL's page.
 
-    Null and empty html give the empty text. Pages are ordered by host, path, query and page_id in ranges, so a host of
-    any size is spread over tasks; a page's neighbour is the one before it of its host, for the first one
-    the one after. The first rows of a range take the last row of the range before, carried as a boundary record.
+    Null and empty html give the empty text; html of any length is read whole. Pages are ordered by host, path, query and
+    page_id in ranges, so a host of any size is spread over tasks; a page's neighbour is the one before it of its
+    host, for the first one the one after. A part's first page waits as a boundary record for the last page of the part
+    before; there are two such records a part, and they are joined by part, so nothing depends on how files are read.
     Repeated rows are neighbours of each other and keep their text; a page alone on its host, or with a null url,
-    has no neighbour. Other columns are ignored; an empty table gives no rows. Order does not matter to pages with a marked article.
+    has no neighbour. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    order = ["host", "path", "page_id", "tie"]
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("tie"), "html")
+    rows = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(placed_rows, PLACED), "pages")
+    parts = [r["part"] for r in rows.filter("kind = 2").select("part").sort("part").collect()]  # a number a part
+    beside = spark.createDataFrame(list(zip(parts, [None, *parts], [*parts[1:], None], strict=False)), "part int, before int, after int")
+    last = rows.filter("kind = 2").select(F.col("part").alias("before"), F.col("host").alias("last_host"), F.col("text").alias("last_text"))
+    ends = rows.filter("kind = 3").select("part", F.col("host").alias("own_host"), "text")
+    after = ends.select(F.col("part").alias("after"), F.col("own_host").alias("next_host"), F.col("text").alias("next_text"))
+    open_ = rows.filter("kind = 1").select("part", "page_id", "url", "text", "article", "near").join(ends.drop("text"), "part").join(beside, "part").join(last, "before", "left").join(after, "after", "left")
+    near = F.when((F.col("own_host") != "") & (F.col("own_host") == F.col("last_host")), F.col("last_text")).when(F.col("near").isNotNull(), F.col("near")).when((F.col("own_host") != "") & (F.col("own_host") == F.col("next_host")), F.col("next_text"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [blocks(x.as_py() or "") for x in batch.column("html")]
-            main = [any(m for m, _ in d) for d in done]
-            text = ["\n".join(t for x, t in d if x or not m) for d, m in zip(done, main, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(main), pa.array(text, pa.string())], ["page_id", "url", "host", "path", "main", "text"])
-
-    small_batches(spark, 500)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), "html").mapInArrow(parse, "page_id long, url string, host string, path string, main boolean, text string")
-    rows = materialize(rows, "page-lines")
-    done = rows.filter("main or host = ''").select("page_id", "url", "text")
-    open_ = materialize(rows.filter("not main and host <> ''").repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(_numbered, "part int, host string, page_id long, url string, text string, n long"), "open-pages")
-    edges = {}
-    if open_.take(1):
-        last = open_.groupBy("part").agg(F.max_by(F.struct("host", "text"), "n").alias("x")).select("part", "x.*")  # one row a part
-        edges = {r["part"]: (r["host"], r["text"]) for r in last.collect()}
-    parts = sorted(edges)
-    before = {p: edges[q] for q, p in zip(parts, parts[1:], strict=False)}
-    return done.unionByName(_differenced(open_, before)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(b), pa.int32()), b.column("host"), b.column("page_id"), b.column("url"), b.column("text"), pa.array(range(n, n + len(b)), pa.int64())], ["part", "host", "page_id", "url", "text", "n"])
-        n += len(b)
-
-
-def _differenced(rows: DataFrame, before: dict[int, tuple[str, str]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, str, str] | None = None
-        waiting: dict | None = None
-
-        def cut(row: dict, near: str | None) -> pa.RecordBatch:
-            text = main_text([(False, t) for t in row["text"].split("\n") if t], near.split("\n") if near else None)
-            return pa.RecordBatch.from_arrays([pa.array([row["page_id"]], pa.int64()), pa.array([row["url"]], pa.string()), pa.array([text], pa.string())], ["page_id", "url", "text"])
-
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = lambda x: x.split("\n") if x else []
         for batch in batches:
-            for row in batch.to_pylist():
-                if waiting is not None:
-                    yield cut(waiting, row["text"] if (row["part"], row["host"]) == (waiting["part"], waiting["host"]) else None)
-                    waiting = None
-                if last is None or last[0] != row["part"]:
-                    edge = before.get(row["part"])
-                    last = (row["part"], *edge) if edge else None
-                if last is not None and last[1] == row["host"]:
-                    yield cut(row, last[2])
-                else:
-                    waiting = row
-                last = (row["part"], row["host"], row["text"])
-        if waiting is not None:
-            yield cut(waiting, None)
+            done = [main_text(cut(t), a or [], cut(n)) for t, a, n in zip(*(batch.column(k).to_pylist() for k in ("text", "article", "near")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["page_id", "url", "text", "n_shared"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    firsts = open_.select("page_id", "url", "text", "article", near.alias("near")).mapInArrow(finish, "page_id long, url string, text string, n_shared long")
+    out = rows.filter("kind = 0").select("page_id", "url", "text", "n_shared").unionByName(firsts)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")

@@ -293,6 +293,58 @@ def test_page_text(spark):
     assert got[6].text == "Same top\nalone\nSame end"
 
 
+def brute_lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("most_pairs", [200_000, 0])
+def test_lines_are_aligned_by_a_longest_common_subsequence(most_pairs):
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ([r.choice("abcde") for _ in range(r.randrange(14))] for _ in range(2))
+        mark = html_text.common(a, b, most_pairs)
+        kept = [x for x, m in zip(a, mark, strict=True) if m]
+        rest = iter(b)
+        assert all(x in rest for x in kept) and len(kept) == brute_lcs(a, b)
+    assert sum(html_text.common(["x"] * 20_000 + ["y"], ["z"] + ["x"] * 20_000)) == 20_000
+
+
+def test_pages_are_differenced_whatever_the_parts(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(400):
+        host, own = f"h{i % 3 if i % 2 else 0}.org", [f"own {i} {k}" for k in range(r.randrange(1, 4))]
+        lines = ["Top of all", *own, "Quoted by many", "End of all"]
+        body = "".join(f"<p>{x}</p>" for x in lines) if i % 4 else f"<p>Top of all</p><article>{''.join(f'<p>{x}</p>' for x in own)}<p>Quoted by many</p></article><p>End of all</p>"
+        rows.append((i, None if i % 50 == 0 else f"http://{host}/p{i:03}", body, "clash", 1))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string, part int")
+    want, order = {}, sorted((u.split("/")[2], u, i) for i, u, *_ in rows if u)
+    texts = {i: [x for _, x in html_text.blocks(h)] for i, _, h, *_ in rows}
+    for k, (host, _, i) in enumerate(order):
+        near = next((order[m][2] for m in (k - 1, k + 1) if 0 <= m < len(order) and order[m][0] == host), None)
+        shared = html_text.common(texts[i], texts[near])
+        want[i] = ([x for x, s in zip(texts[i], shared, strict=True) if not s] if i % 4 else texts[i][1:-1], sum(shared))
+    for i, u, *_ in rows:
+        want.setdefault(i, (texts[i] if i % 4 else texts[i][1:-1], 0))
+    for parts in ("1", "3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {x.page_id: (x.text.split("\n"), x.n_shared) for x in html_text.extract(docs).collect()}
+        assert got == want, parts
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_odd_pages(spark):
+    rows = [(1, "http://a.org/x", "<p>same</p>"), (1, "http://a.org/x", "<p>same</p>"), (None, "http://a.org/y", "<p>same</p><p>own"), (3, "http://b.org/", "<p>word</p>" * 30_000), (4, "http://b.org/", "<p>word</p>" * 30_000 + "<p>more"), (5, None, "<p>same</p>"), (6, "no url", "<p>same</p>")]
+    got = sorted((r.page_id or 0, r.text[:9], r.n_chars, r.n_shared) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(0, "own", 3, 1), (1, "same", 4, 1), (1, "same", 4, 1), (3, "word\nword", 149_999, 30_000), (4, "more", 4, 30_000), (5, "same", 4, 0), (6, "same", 4, 0)]
+
+
 def test_language(spark):
     r = random.Random(4)
     a, b = ["thing", "other", "where", "shall"], ["größe", "nicht", "über", "schön"]
@@ -305,3 +357,4 @@ def test_language(spark):
 @pytest.mark.parametrize("run", [dedup_lines, near_duplicates, pii.find_pii, lambda d: identify(d, d), lambda d: find_leaks(d, d.select(d.doc_id.alias("item_id"), "text")), lambda d: quality.judge(d, d.selectExpr("doc_id", "1 as quality", "0 as toxic"), ["doc_id"])])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
