@@ -23,12 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, ragged, small_batches
+from .shared import fresh, pieces, ragged, small_batches
 
 NOT_WORD = r"[^\p{L}\p{N}\p{M}]+"
 MATCHES = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
 WALKS = 4
 MOST_TABLES = 256
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -86,36 +87,41 @@ class Items:
             by_size[len(w)].append(k)
         self.by_size = dict(by_size)
         self.of_size = {n: np.isin(self.pairs, np.concatenate([self.items[k][:-1] * self.size + self.items[k][1:] for k in members])) for n, members in by_size.items()}
-        self.rng = np.random.default_rng(seed)
-        self.bits = self.rng.integers(0, 2, (WALKS, 3 * max(map(len, self.items), default=1), self.size), np.uint8)
+        self.salts = np.random.default_rng(seed).integers(1, 1 << 63, (WALKS, 2 * max(map(len, self.items), default=1)), np.uint64)
         self.samples: dict[int, np.ndarray] = {}
-        self.tables: dict[int, list[dict[bytes, list[int]]]] = {}  # none for a size whose recall is too low
+        #: For each hashed size and table the sorted keys of its items, and whose they are. None for a size whose recall is too low.
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n, members in self.by_size.items():
             self._fit(n, members, recall)
 
-    def embed(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """[walk, window, step] words; windows: rows of word codes, padded."""
-        out = np.empty((WALKS, len(windows), 2 * n), np.int64)
-        rows = np.arange(len(windows))
+    def keys(self, windows: np.ndarray, samples: np.ndarray) -> np.ndarray:
+        """[table, window] hashes of what the walks copy at the sampled steps. windows: rows of word codes, padded. A walk's bit comes from a hash of its step's salt and the word, so nothing is kept but one place a window."""
+        out = np.zeros((len(samples), len(windows)), np.uint64)
+        rows, wide = np.arange(len(windows)), windows.shape[1]
         for r in range(WALKS):
+            mine = samples[r::WALKS]
             at = np.zeros(len(windows), np.int64)
-            for step in range(2 * n):  # samples are taken from these
-                w = np.where(at < windows.shape[1], windows[rows, np.minimum(at, windows.shape[1] - 1)], self.pad)
-                out[r, :, step] = w
-                at += self.bits[r, step][w]
+            for step in range(int(mine.max()) + 1 if mine.size else 0):
+                w = np.where(at < wide, windows[rows, np.minimum(at, wide - 1)], self.pad).astype(np.uint64)
+                for t in np.flatnonzero((mine == step).any(1)).tolist():
+                    key = out[t * WALKS + r]
+                    key ^= w + np.uint64(1)
+                    key *= MIX
+                    key ^= key >> np.uint64(29)
+                z = ((w + np.uint64(1)) * MIX ^ self.salts[r, step]) * MIX
+                at += ((z ^ z >> np.uint64(31)) * MIX >> np.uint64(63)).astype(np.int64)
         return out
 
-    def keys(self, windows: np.ndarray, n: int, samples: np.ndarray) -> list[list[bytes]]:
-        e = self.embed(windows, n)
-        return [[x.tobytes() for x in np.ascontiguousarray(e[t % WALKS][:, s])] for t, s in enumerate(samples)]
+    def chunk(self, n: int, d: int, tables: int) -> int:
+        """How many windows are embedded at once: so that windows and keys take some 64 MB, whatever the size of the item."""
+        return max(1, (8 << 20) // (n + d + tables))
 
     def _fit(self, n: int, members: list[int], recall: float) -> None:
-        d, rng = int(0 if not members else self.most[members[0]]), np.random.default_rng(n)
-        whole = np.stack([self.items[k] for k in members])
+        d, rng = self.most[members[0]], np.random.default_rng(n)
         edited = np.full((200, n + d), self.pad, np.int64)
-        truth = rng.integers(0, len(whole), 200)
+        truth = rng.integers(0, len(members), 200)
         for row, k in zip(edited, truth, strict=True):
-            w = whole[k].tolist()
+            w = self.items[members[k]].tolist()
             for _ in range(d):
                 at = int(rng.integers(0, len(w) + 1))
                 how = int(rng.integers(0, 3))
@@ -126,20 +132,31 @@ class Items:
                 else:
                     w[min(at, len(w) - 1)] = 0
             row[: min(len(w), len(row))] = w[: len(row)]
+        whole = np.stack([self.items[members[k]] for k in truth])
         tables = 8
         while True:
             samples = np.stack([np.sort(np.random.default_rng(n * 1000 + t).choice(2 * n, min(3, 2 * n), replace=False)) for t in range(tables)])
-            a, b = self.keys(whole, n, samples), self.keys(edited, n, samples)
-            if np.mean([any(b[t][i] == a[t][k] for t in range(tables)) for i, k in enumerate(truth)]) >= recall:
+            if (self.keys(whole, samples) == self.keys(edited, samples)).any(0).mean() >= recall:
                 break
             if tables >= MOST_TABLES:
                 return
             tables *= 2
+        step = self.chunk(n, 0, tables)
+        found = np.concatenate([self.keys(np.stack([self.items[k] for k in members[i : i + step]]), samples) for i in range(0, len(members), step)], 1)
+        order = np.argsort(found, 1, kind="stable")
         self.samples[n] = samples
-        self.tables[n] = [defaultdict(list) for _ in samples]
-        for t, row in enumerate(a):
-            for k, key in zip(members, row, strict=True):
-                self.tables[n][t][key].append(k)
+        self.tables[n] = [(row[o], np.array(members, np.int64)[o]) for row, o in zip(found, order, strict=True)]
+
+    def candidates(self, n: int, windows: np.ndarray) -> list[tuple[int, int]]:
+        """(window, item) that agree in a table."""
+        met = [np.empty(0, np.int64)]
+        for (keys, owner), own in zip(self.tables[n], self.keys(windows, self.samples[n]), strict=True):
+            low = np.searchsorted(keys, own, "left")
+            size = np.searchsorted(keys, own, "right") - low
+            if len(hit := np.flatnonzero(size)):
+                met.append(np.repeat(hit, size[hit]) * len(self.items) + owner[ragged(low[hit], size[hit])])
+        found = np.unique(np.concatenate(met))
+        return list(zip((found // len(self.items)).tolist(), (found % len(self.items)).tolist(), strict=True))
 
     @staticmethod
     def _mark(pairs: np.ndarray) -> np.ndarray:
@@ -195,13 +212,13 @@ class Items:
                     self._search_exactly(k, d, words, ends, self.starts(n, d, words, mine), best)
                 continue
             start = self.starts(n, d, words, at[self.of_size[n][pair]])
-            for a in range(0, len(start), 4096):
-                part = start[a : a + 4096]
+            step = self.chunk(n, d, len(self.samples[n]))
+            for a in range(0, len(start), step):
+                part = start[a : a + step]
                 text = np.searchsorted(ends, part, "right")
                 place = part[:, None] + np.arange(n + d)[None, :]
                 windows = np.where(place < ends[text][:, None], words[np.minimum(place, len(words) - 1)], self.pad)
-                met = {(i, k) for t, row in enumerate(self.keys(windows, n, self.samples[n])) for i, key in enumerate(row) if key in self.tables[n][t] for k in self.tables[n][t][key]}
-                for i, k in sorted(met):
+                for i, k in self.candidates(n, windows):
                     s, own = int(part[i]), int(text[i])
                     if (own, k) in best and best[own, k][:2] <= (0, s):
                         continue  # nothing beats an exact stretch that comes before
@@ -212,13 +229,15 @@ class Items:
         return [(own, k, v[0], v[1] - int(base[own]), v[2] - int(base[own])) for (own, k), v in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, recall: float = 0.99, block: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, recall: float = 0.99, block_words: int = 2_000_000) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, distance, item_words, start_word, end_word (exclusive).
 
-    The best stretch is told: the least distance, then the first. Items are taken in blocks of at most
-    `block`, each over all documents, so what a task holds doesn't grow with the benchmark. Null texts and
-    texts without a word, of either table, match nothing. Repeated rows are searched and returned each;
-    null ids stay null; other columns are ignored; an empty table gives no rows.
+    The best stretch is told: the least distance, then the first. Items of up to `block_words` words in all (some
+    30,000 items of usual size; a longer item is a block by itself) are one broadcast index and one scan of the
+    documents; a larger benchmark takes as many scans as it has such blocks, so what a task holds doesn't grow
+    with it. Null texts and texts without a word, of either table, match nothing; texts of any length are searched
+    whole. Repeated rows, of either table, are searched and returned each; null ids stay null; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -241,11 +260,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, recall: flo
         return docs.select("doc_id", "text").mapInArrow(run, MATCHES)
 
     held: list = []
+    size = 0
     for row in items.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
+        n = len(row["text"].split())
+        if held and size + n > block_words:
             found.append(search(held))
-            held = []
+            held, size = [], 0
+        held.append(row)
+        size += n
     if held or not found:
         found.append(search(held))
     out = found[0]
@@ -255,10 +277,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, recall: flo
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs' rows in whose text no item was found. Rows are told apart by doc_id and text, so rows of one doc_id don't share a verdict."""
+    """docs' rows in whose text no item was found, with all columns. Rows are told apart by doc_id and text, so rows of one doc_id don't share a verdict, and repeated rows do."""
+    (name,) = fresh(docs, "_key")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), items, **options)
-    return docs.withColumn("_key", key).join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+    return docs.withColumn(name, key).join(leaks.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").drop(name)
 
 
 __all__ = ["Items", "edit_distance", "find_leaks", "without_leaks"]

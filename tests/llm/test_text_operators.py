@@ -125,7 +125,7 @@ def test_leaks(spark):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id): x.distance for x in find_leaks(made(spark, texts), table).collect()}
     assert got == {(1, 0): 0, (2, 1): 2, (5, 2): 0, (5, 3): 0, (None, 4): 0}
-    assert got == {(x.doc_id, x.item_id): x.distance for x in find_leaks(made(spark, texts), table, block=2).collect()}
+    assert got == {(x.doc_id, x.item_id): x.distance for x in find_leaks(made(spark, texts), table, block_words=70).collect()}
     assert sorted(x.doc_id for x in without_leaks(made(spark, texts), table).collect()) == [0, 3, 4, 6]
 
 
@@ -162,6 +162,26 @@ def test_leaks_without_hash_equal_brute_force(spark):
     assert {(x.doc_id, x.item_id, x.distance, x.start_word, x.end_word) for x in got} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("n", [20, 60, 200, 600])
+def test_recall_of_edited_items(n):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(n)
+    items = [sentence(r, n) for _ in range(8)]
+    from helioscope.llm.decontaminate import Items, words_of
+
+    index = Items(list(range(8)), items, 0.1, 0.99)
+    found = 0
+    for trial in range(80):
+        flat, ends = words_of(pa.array([sentence(r, 40) + " " + edited(r, items[trial % 8].split(), n // 10) + " " + sentence(r, 40)]))
+        import pyarrow.compute as pc
+
+        code = pc.fill_null(pc.index_in(flat, index.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        found += any(k == trial % 8 for _, k, *_ in index.search(code, ends))
+    assert found >= 78
+
+
 def test_edit_distance():
     import numpy as np
 
