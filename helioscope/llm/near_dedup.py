@@ -5,9 +5,9 @@
 2. Four registers of 16 bits make a band. At Jaccard 0.75 one of the 30 bands agrees but for one pair in 100,000.
 3. In each bucket the pairs whose estimate is `plausible` or more (five standard errors below the threshold) are joined;
    a bucket gives at most one edge a member, however many pairs it holds. Components of these edges are families.
-4. The full sets of each family's members, one a class, give the exact links and components.
-Buckets and families larger than a block are cut into blocks, and every pair of blocks is one task's work: no member
-is dropped, and a task's memory is bounded.
+4. The full sets of each family's members, one a class, give the exact links and components (`family_links`).
+Buckets larger than a block are cut into blocks, and every pair of blocks is one task's work; larger families are joined
+block by block, then what that left apart: no member is dropped, and a task's memory is bounded.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def block_count(amount: str, block: int) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, c1, c2, sketch): a row a document; c1 and c2 digest its set."""
+    """(row, doc_id, t, n, c1, c2, sketch): a row a document; t hashes its text, c1 and c2 digest its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 36
@@ -152,11 +152,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 sets = shingles(texts)
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 rows = sketches(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(sets))), batch.column("doc_id").slice(first, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([r.tobytes() for r in rows], pa.binary())], ["row", "doc_id", "n", "c1", "c2", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(sets))), batch.column("doc_id").slice(first, len(sets)).cast(pa.int64()), batch.column("t").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([r.tobytes() for r in rows], pa.binary())], ["row", "doc_id", "t", "n", "c1", "c2", "sketch"])
                 at += len(sets)
 
     small_batches(docs.sparkSession)
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, c1 long, c2 long, sketch binary"), "sketches")
+    return materialize(docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "row long, doc_id long, t long, n long, c1 long, c2 long, sketch binary"), "sketches")
 
 
 def plausible_edges(nodes: DataFrame, plausible: float, block: int) -> DataFrame:
@@ -194,15 +194,23 @@ def plausible_edges(nodes: DataFrame, plausible: float, block: int) -> DataFrame
     return met.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "row").mapInArrow(join, "a long, b long")
 
 
-def exact_edges(docs: DataFrame, members: DataFrame, numerator: int, denominator: int, block: int, largest_broadcast: int = 200_000) -> DataFrame:
-    """(cut, a, b): links that join each family's exact components, cut if the family spans blocks; members: (fam, row, doc_id, c1, c2, i, j)."""
-    wanted = members.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "c1", "c2", "fam", "row", "i", "j")
-    if wanted.count() <= largest_broadcast:  # 60 bytes a row
+def exact_edges(docs: DataFrame, members: DataFrame, numerator: int, denominator: int, label: str, largest_broadcast: int = 200_000) -> DataFrame:
+    """(a, b): links that join the exact components of each group (fam, i, j) of members: (fam, row, doc_id, t, c1, c2, i, j).
+
+    Members find their texts by doc_id and the text's hash, so null or repeated doc_ids are no hot key; of copies that
+    one task meets, one is passed on.
+    """
+    wanted = members.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "t", "c1", "c2", "fam", "row", "i", "j")
+    if wanted.count() <= largest_broadcast:  # 70 bytes a row
         wanted = F.broadcast(wanted)
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), "text").join(wanted, "_id").drop("_id")
+    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("t"), "text").join(wanted, ["_id", "t"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple] = set()
         for batch in batches:
+            keys = list(zip(*(batch.column(x).to_pylist() for x in ("fam", "i", "j", "row")), strict=True))
+            new = [k for k, key in enumerate(keys) if key not in met and not met.add(key)]
+            batch = batch.take(pa.array(new, pa.int64()))
             for first, texts in pieces(batch.column("text"), 4 << 20):
                 got, part = shingles(texts), batch.slice(first, len(texts))
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in got), np.int64).reshape(-1, 2)
@@ -229,11 +237,50 @@ def exact_edges(docs: DataFrame, members: DataFrame, numerator: int, denominator
 
             if out := linked(len(row), near):
                 a, b = np.array(out).T
-                cut = t["i"][0].as_py() != t["j"][0].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([cut] * len(out)), pa.array(row[a]), pa.array(row[b])], ["cut", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], ["a", "b"])
 
     placed = found.mapInArrow(sets, "fam long, i int, j int, row long, set binary").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "row")
-    return placed.mapInArrow(join, "cut boolean, a long, b long")
+    return materialize(placed.mapInArrow(join, "a long, b long"), label)
+
+
+def family_links(docs: DataFrame, sized: DataFrame, percent: int, block: int) -> DataFrame:
+    """(row, root): the exact components of every family; sized: (row, doc_id, t, n, c1, c2, fam).
+
+    1. Each family is cut into blocks that fit a task (most are one), and each block is joined by itself.
+    2. Of a family of several blocks, the first member of each component that 1 found stands for it; these are joined.
+    3. A link between two components that remain can only have an end outside the family's largest one. So what is
+       outside is compared with all members, block by block; the inside of the largest is not compared again.
+    Rows that move are in proportion to the family's members times blocks of members outside its largest component.
+    """
+    sizes = sized.groupBy("fam").agg(F.count("*").alias("size"), F.sum("n").alias("all")).withColumn("blocks", F.greatest(block_count("size", block), block_count("all", 2_000_000)))
+    sizes = materialize(sizes.select("fam", "size", F.col("size").alias("members"), "blocks"), "family-blocks")
+    members = materialize(heavy_join(sized, sizes, ["fam"], "size", sized.count()), "members")
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    inside = exact_edges(docs, members.withColumn("i", own).withColumn("j", F.col("i")), percent, 100, "links-inside")
+    if not sizes.filter("blocks > 1").take(1):
+        return inside.select(F.col("a").alias("row"), F.col("b").alias("root"))
+    large = materialize(members.filter("blocks > 1").join(inside.select(F.col("a").alias("row"), "b"), "row", "left").select(*members.columns, F.coalesce("b", "row").alias("first")), "large-families")
+    heads = large.filter("row = first").drop("blocks", "members")
+    head_sizes = heads.groupBy("fam").agg(F.count("*").alias("size"), F.sum("n").alias("all")).withColumn("blocks", F.greatest(block_count("size", block), block_count("all", 2_000_000))).select("fam", "size", "blocks")
+    heads = materialize(in_blocks(heavy_join(heads, materialize(head_sizes, "head-blocks"), ["fam"], "size", heads.count()), "blocks"), "heads")
+    between = exact_edges(docs, heads, percent, 100, "links-between")
+    joined = components(between, "heads-joined")
+    large = large.join(joined.select(F.col("row").alias("first"), "root"), "first", "left").withColumn("root", F.coalesce("root", "first"))
+    large = materialize(large, "large-joined")
+    parts = large.groupBy("fam", "root").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
+    whole = parts.groupBy("fam").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("size"), F.sum("all").alias("all"), F.max(F.struct("k", "root", "all")).alias("most"))
+    whole = whole.filter(F.col("size") > F.col("most.k")).select("fam", "main", "size", (F.col("size") - F.col("most.k")).alias("out"), (F.col("all") - F.col("most.all")).alias("out_all"))
+    whole = whole.withColumn("slices", F.greatest(block_count("out", block // 2), block_count("out_all", 1_000_000)).cast("int")).drop("out", "out_all")
+    left = heavy_join(large, materialize(whole, "families-left"), ["fam"], "size", large.count())
+    left = left.withColumn("own", own).withColumn("slice", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("slices")).cast("int")))
+    every = F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))
+    with_own = left.withColumn("i", F.explode(every)).withColumn("j", F.col("own"))
+    with_others = left.filter("slice is not null").withColumn("i", F.col("slice")).withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda x: x != F.col("own"))))
+    met = materialize(with_own.unionByName(with_others), "members-left")
+    across = exact_edges(docs, met, percent, 100, "links-across")
+    small = inside.join(large.select(F.col("row").alias("a")), "a", "left_anti").select(F.col("a").alias("row"), F.col("b").alias("root"))
+    edges = inside.join(large.select(F.col("row").alias("a")), "a", "left_semi").unionByName(between).unionByName(across)
+    return small.unionByName(components(edges, "large-linked"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, plausible: float | None = None, block: int = BLOCK) -> DataFrame:
@@ -242,8 +289,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, plausible: float | None
     Words: runs of what isn't ASCII white space, A-Z lower-cased. Texts of fewer than five words are one shingle.
     Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows are in one class, and each
     is returned; component_id is the least non-null doc_id of the component (null if it has none), kept says
-    that a row has that doc_id. Rows of one doc_id with different texts are different nodes. Other columns are ignored;
-    an empty table gives no rows.
+    that a row has that doc_id. Rows of one doc_id with different texts are different nodes. Very long texts are read
+    whole, some MB of them at once. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     least = plausible if plausible is not None else percent / 100 - 0.2
     rows = scan(docs)
@@ -252,13 +299,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, plausible: float | None
     nodes = materialize(full.join(classes.select("row"), "row", "left_semi"), "nodes")
     family = components(plausible_edges(nodes, least, block), "families")
     family = materialize(family.unionByName(family.select(F.col("root").alias("row"), "root").distinct()), "families")
-    sized = nodes.select("row", "doc_id", "n", "c1", "c2").join(family, "row").withColumnRenamed("root", "fam")
-    blocks = sized.groupBy("fam").agg(F.count("*").alias("size"), F.sum("n").alias("all")).withColumn("blocks", F.greatest(block_count("size", block), block_count("all", 2_000_000)))
-    members = heavy_join(sized, materialize(blocks.drop("all"), "family-blocks"), ["fam"], "size", sized.count())
-    links = materialize(exact_edges(docs, materialize(in_blocks(members, "blocks"), "members"), percent, 100, block), "links")
-    done = links.filter("not cut").select(F.col("a").alias("row"), F.col("b").alias("root"))
-    cut = components(links.filter("cut").select("a", "b"), "cut-families")
-    rooted = classes.join(done.unionByName(cut), "row", "left").select("c1", "c2", "copies", "first", F.coalesce("root", "row").alias("root"))
+    sized = nodes.select("row", "doc_id", "t", "n", "c1", "c2").join(family, "row").withColumnRenamed("root", "fam")
+    found = family_links(docs, sized, percent, block)
+    rooted = classes.join(found, "row", "left").select("c1", "c2", "copies", "first", F.coalesce("root", "row").alias("root"))
     rooted = materialize(rooted, "rooted")
     least_id = rooted.groupBy("root").agg(F.count("*").alias("k"), F.min("first").alias("component_id"))
     named = heavy_join(rooted, least_id, ["root"], "k", rooted.count()).select("c1", "c2", "copies", "component_id")

@@ -94,6 +94,21 @@ def test_near_duplicates(spark, texts, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def test_near_duplicates_of_large_families(spark):
+    r = random.Random(13)
+    base, out = sentence(r, 60).split(), []
+    for i in range(160):  # one large component, chains that hang on it, and copies too far away; null and repeated doc_ids
+        w = list(base)
+        for at in range(0, 60, 20 if i % 3 else 12) if i % 2 else [r.randrange(60)]:
+            w[(at + i) % 60] = f"new{i}"
+        out.append((None if i % 7 == 0 else i // 2 * 2, " ".join(w)))
+    out += [(None, out[1][1])] * 5
+    got = near_duplicates(made(spark, out), block=16).collect()
+    want = brute_components(out)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
+    assert 3 < len({k[2] for k in want}) < 120
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 
