@@ -11,37 +11,41 @@ from helioscope.llm.near_dedup import near_duplicates
 from helioscope.llm.packing import pack
 from helioscope.llm.quality import judge
 from helioscope.llm.queries import END_ID, table, tokenizer
-from helioscope.llm.shared import materialize
+from helioscope.llm.shared import column, fresh, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, with the columns they came with."""
+    """Documents that pass the rules, with the columns they came with. Null and empty texts have no words and go; repeated rows share a verdict; without labels the base rules alone decide; an empty table stays empty."""
     return judge(docs, table(spark, sf_dir, "labels"), docs.columns, keep_only=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without lines whose key ten documents share; n_chars follows the text."""
-    cut = dedup_lines(docs, min_docs=10, min_chars=1)
-    return cut.select(*[F.when(F.col("bits").isNull(), F.col(c)).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """The same documents without lines whose key ten documents share; n_chars follows the text. A document that loses all its lines stays, with the empty text; null texts stay null; repeated rows are cut alike."""
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names that the operator's own columns can't clash with
+    named = docs.select(*[column(c).alias(c if c in ("doc_id", "text") else o) for c, o in zip(docs.columns, own, strict=True)])
+    cut = dedup_lines(named, min_docs=10, min_chars=1)
+    now = [F.when(F.col("bits").isNull(), F.col(o)).otherwise(F.length("text").cast("long")) if c == "n_chars" else F.col(c if c in ("doc_id", "text") else o) for c, o in zip(docs.columns, own, strict=True)]
+    return cut.select(*[x.alias(c) for x, c in zip(now, docs.columns, strict=True)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the least doc_id; of rows that share it, one. Rows without words are no copies, so all stay."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), "_row"))
-    kept = materialize(groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least.alias("least")).select("least._row"), "kept")
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    """One row of each group of near copies, that of the least doc_id (null last); of rows that share it, one. Rows without words are no copies, so all stay."""
+    (name,) = fresh(docs, "_row")
+    numbered = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias(name), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), name))
+    kept = materialize(groups.join(numbered.select(name, "doc_id"), name).groupBy("component_id").agg(least.alias("least")).select(F.col("least")[name].alias(name)), "kept")
+    return numbered.join(kept, name, "left_semi").select(*map(column, docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
+    """Documents in which no benchmark item was found. Null and empty texts match nothing and stay; repeated rows share a verdict; an empty benchmark takes nothing away."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the training sequences."""
-    return pack(docs, tokenizer(), END_ID)
+    """Pieces of the training sequences with their token ids (binary, little-endian 32 bits). Null and empty texts are one end id; repeated rows are packed each by itself."""
+    return pack(docs, tokenizer(), END_ID, with_ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
