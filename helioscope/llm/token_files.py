@@ -2,9 +2,10 @@
 
 A file set is a Parquet folder with a row a shard:
 part, shard: place in ascending doc_id order; at: ids before the shard in its part; n: ids that it expands to;
-doc_ids, doc_n: its documents and their numbers of ids; base: the first nonterminal;
-rules: pairs of symbols, one a nonterminal from base on; spans: what each nonterminal expands to, in ids;
-symbols: the sequence. The last three are little-endian 32-bit unsigned integers.
+doc_ids, doc_n: its documents and their numbers of ids; base: the first nonterminal; width: bits a symbol;
+n_rules, n_symbols: how many there are; rules: two symbols a nonterminal, from base on; symbols: the sequence;
+spans: what each nonterminal expands to, in ids (32 bits, little-endian); blocks: the ids before every 1024th symbol
+(64 bits). rules and symbols take `width` bits a value (`packed`).
 """
 
 from __future__ import annotations
@@ -22,79 +23,116 @@ from .packing import part_offsets
 from .shared import pieces, shared_dir, small_batches
 from .tokens import encode_documents
 
-SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_n", pa.list_(pa.int64())), ("base", pa.int64()), ("rules", pa.binary()), ("spans", pa.binary()), ("symbols", pa.binary())])
-SHARD_SQL = "part int, shard int, at long, n long, doc_ids array<bigint>, doc_n array<bigint>, base long, rules binary, spans binary, symbols binary"
+SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_n", pa.list_(pa.int64())), ("base", pa.int64()), ("width", pa.int32()), ("n_rules", pa.int64()), ("n_symbols", pa.int64()), ("rules", pa.binary()), ("spans", pa.binary()), ("symbols", pa.binary()), ("blocks", pa.binary())])
+SHARD_SQL = "part int, shard int, at long, n long, doc_ids array<bigint>, doc_n array<bigint>, base long, width int, n_rules long, n_symbols long, rules binary, spans binary, symbols binary, blocks binary"
+BLOCK = 1024
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def frequent_pairs(seq: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Up to `most` pairs that occur `least` times or more, the most frequent first, such that no symbol ends one pair and begins another: their occurrences never overlap."""
-    codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    bucket = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-    codes = codes[(np.bincount(bucket.astype(np.int64), minlength=1 << 18) >= least)[bucket.astype(np.int64)]]
-    pairs, n = np.unique(codes, return_counts=True)
-    order = np.lexsort((pairs, -n))[: 4 * most]
+def packed(values: np.ndarray, width: int) -> bytes:
+    """`width` bits a value: first the bytes of lowest order of all values, and so on, then the bits that are left, each in a plane of its own."""
+    whole = [(values >> np.uint32(8 * k)).astype(np.uint8) for k in range(width // 8)]
+    return b"".join(x.tobytes() for x in [*whole, *(np.packbits(values >> np.uint32(bit) & np.uint32(1), bitorder="little") for bit in range(width // 8 * 8, width))])
+
+
+def unpacked(data: bytes, width: int, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Values first .. last - 1 of n packed ones (first a multiple of 8); only their bytes are read."""
+    last, out, at = n if last is None else last, np.zeros((n if last is None else last) - first, np.uint32), 0
+    raw = np.frombuffer(data, np.uint8)
+    for k in range(width // 8):
+        out |= raw[at + first : at + last].astype(np.uint32) << np.uint32(8 * k)
+        at += n
+    for bit in range(width // 8 * 8, width):
+        out |= np.unpackbits(raw[at + first // 8 : at + -(-last // 8)], count=last - first, bitorder="little").astype(np.uint32) << np.uint32(bit)
+        at += -(-n // 8)
+    return out
+
+
+def frequent_pairs(codes: np.ndarray, half: int, least: int) -> np.ndarray:
+    """Pairs that occur `least` times or more, sorted; the most frequent first claim their symbols, so that none ends one pair and begins another: only a pair of equal symbols can overlap itself."""
+    spread = (codes * np.uint32(0x9E3779B1)) >> np.uint32(14) if half == 16 else ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+    codes = np.sort(codes[(np.bincount(spread, minlength=1 << 18) >= least)[spread]])
+    if not len(codes):
+        return codes
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    n = np.diff(np.concatenate([first, [len(codes)]]))
+    pairs, n = codes[first[n >= least]], n[n >= least]
     begin: set[int] = set()
     end: set[int] = set()
     chosen = []
-    for pair in pairs[order[n[order] >= least]].tolist():
-        a, b = pair >> 32, pair & 0xFFFFFFFF
-        if a != b and a not in end and b not in begin:
+    for pair in pairs[np.argsort(-n, kind="stable")].tolist():
+        a, b = pair >> half, pair & ((1 << half) - 1)
+        if a not in end and b not in begin and (a != b or a not in begin and a not in end):
             begin.add(a)
             end.add(b)
             chosen.append(pair)
-            if len(chosen) == most:
-                break
-    return np.array(chosen, np.uint64)
-
-
-def compress(ids: np.ndarray, base: int, rounds: int = 5, most: int = 4096, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: each replaces a set of frequent pairs at once by new nonterminals. Gives (rules, spans, symbols)."""
-    seq, rules, spans = ids.astype(np.uint32), np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2 * least or not len(pairs := frequent_pairs(seq, least, most)):
+    return np.sort(np.array(chosen, codes.dtype))
+
+
+def compress(ids: np.ndarray, base: int, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: gives (rules, spans, symbols). Each round replaces a set of frequent pairs by new nonterminals, equal symbols from the left, until no pair occurs `least` times, so that a rule saves that many symbols less the two it takes."""
+    seq, known, rules = ids.astype(np.uint32), np.ones(base, np.uint32), [np.empty((0, 2), np.uint32)]
+    while len(seq) > 1:
+        half = 16 if len(known) <= 1 << 16 else 32
+        kind = np.uint32 if half == 16 else np.uint64
+        codes = seq[:-1].astype(kind)
+        codes <<= kind(half)
+        codes |= seq[1:]
+        pairs = frequent_pairs(codes, half, max(2, least))
+        if not len(pairs):
             break
-        names = np.argsort(pairs)
-        ordered = pairs[names]
-        codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        may = np.zeros(base + len(rules), bool)
-        may[(pairs >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(may[seq[:-1]])
-        where = np.minimum(np.searchsorted(ordered, codes[at]), len(ordered) - 1)
-        hit = ordered[where] == codes[at]
+        a, b = (pairs >> kind(half)).astype(np.int64), (pairs & kind((1 << half) - 1)).astype(np.int64)
+        begins, ends = np.zeros((2, len(known)), bool)
+        begins[a], ends[b] = True, True
+        at = np.flatnonzero(begins[seq[:-1]] & ends[seq[1:]])
+        where = np.minimum(np.searchsorted(pairs, codes[at]), len(pairs) - 1)
+        hit = pairs[where] == codes[at]
         at, where = at[hit], where[hit]
-        seq = seq.copy()
-        seq[at] = base + len(rules) + names[where]
-        seq = np.delete(seq, at + 1)
-        new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        known = np.concatenate([np.ones(base, np.uint32), spans])
-        spans = np.concatenate([spans, known[new[:, 0]] + known[new[:, 1]]])
-        rules = np.concatenate([rules, new])
-    return rules, spans, seq
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    while len(at := np.flatnonzero(symbols >= base)):
-        n = np.ones(len(symbols), np.int64)
-        n[at] = 2
-        first = np.cumsum(n) - n
-        out = np.empty(int(n.sum()), np.uint32)
-        out[first] = symbols
-        pair = rules[symbols[at].astype(np.int64) - base]
-        out[first[at]], out[first[at] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+        if (a == b).any():
+            equal = (a == b)[where]
+            run = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | ~equal[1:]]))
+            nth = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate([run, [len(at)]])))
+            at, where = at[~equal | (nth % 2 == 0)], where[~equal | (nth % 2 == 0)]
+        seq[at] = len(known) + where
+        left = np.ones(len(seq), bool)
+        left[at + 1] = False
+        seq = seq[left]
+        known = np.concatenate([known, known[a] + known[b]])
+        rules.append(np.stack([a, b], 1).astype(np.uint32))
+    return np.concatenate(rules), known[base:], seq
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, base: int) -> np.ndarray:
+    """The ids that symbols stand for: a pass a level of the grammar over those symbols that are not yet ids."""
+    size = np.concatenate([np.ones(base, np.int64), spans.astype(np.int64)])
+    n = size[symbols]
+    first = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.uint32)
+    while len(symbols):
+        done = symbols < base
+        out[first[done]] = symbols[done]
+        pair, first = rules[symbols[~done].astype(np.int64) - base], first[~done]
+        symbols, first = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([first, first + size[pair[:, 0]]])
+    return out
+
+
+def grammar(shard: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, spans) of a shard."""
+    return unpacked(shard["rules"], shard["width"], 2 * shard["n_rules"]).reshape(-1, 2), np.frombuffer(shard["spans"], "<u4")
 
 
 def decode_range(shard: dict, start: int, n: int) -> np.ndarray:
-    """Ids start .. start + n - 1 of one shard, from the symbols that cover them alone."""
-    base = shard["base"]
-    rules, spans, symbols = (np.frombuffer(shard[k], "<u4") for k in ("rules", "spans", "symbols"))
-    ends = np.cumsum(np.concatenate([np.ones(base, np.uint32), spans])[symbols], dtype=np.int64)
+    """Ids start .. start + n - 1 of one shard. Only the blocks of symbols that cover them are read."""
+    if n < 1:
+        return np.empty(0, np.uint32)
+    rules, spans = grammar(shard)
+    blocks = np.frombuffer(shard["blocks"], "<i8")
+    a, b = np.searchsorted(blocks, start, "right") - 1, np.searchsorted(blocks, start + n - 1, "right")
+    symbols = unpacked(shard["symbols"], shard["width"], shard["n_symbols"], int(a) * BLOCK, min(int(b) * BLOCK, shard["n_symbols"]))
+    ends = blocks[a] + np.cumsum(np.concatenate([np.ones(shard["base"], np.int64), spans.astype(np.int64)])[symbols])
     first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + n - 1, "right")
-    skip = start - (int(ends[first - 1]) if first else 0)
-    return expand(symbols[first : last + 1], rules.reshape(-1, 2), base)[skip : skip + n]
+    skip = start - int(ends[first - 1] if first else blocks[a])
+    return expand(symbols[first : last + 1], rules, spans, shard["base"])[skip : skip + n]
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int = 2, shard_ids: int = 400_000) -> None:
@@ -103,7 +141,10 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end
     def shard(part: int, k: int, at: int, docs: list, ns: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         stream = np.concatenate(ids)
         rules, spans, symbols = compress(stream, vocabulary)
-        row = {"part": part, "shard": k, "at": at, "n": len(stream), "doc_ids": docs, "doc_n": np.concatenate(ns).tolist(), "base": vocabulary, "rules": rules.astype("<u4").tobytes(), "spans": spans.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes()}
+        width = int(vocabulary + len(rules) - 1).bit_length()
+        sizes = np.concatenate([np.ones(vocabulary, np.int64), spans.astype(np.int64)])[symbols]
+        blocks = (np.cumsum(sizes) - sizes)[::BLOCK]
+        row = {"part": part, "shard": k, "at": at, "n": len(stream), "doc_ids": docs, "doc_n": np.concatenate(ns).tolist(), "base": vocabulary, "width": width, "n_rules": len(rules), "n_symbols": len(symbols), "rules": packed(rules.reshape(-1), width), "spans": spans.astype("<u4").tobytes(), "symbols": packed(symbols, width), "blocks": blocks.astype("<i8").tobytes()}
         return pa.RecordBatch.from_pylist([row], SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +185,7 @@ def read_files(spark, path: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                data = expand(np.frombuffer(row["symbols"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2), row["base"]).astype("<u4").tobytes()
+                data = expand(unpacked(row["symbols"], row["width"], row["n_symbols"]), *grammar(row), row["base"]).astype("<u4").tobytes()
                 n = np.array(row["doc_n"], np.int64)
                 ends = np.cumsum(n)
                 if len(data) != 4 * row["n"]:

@@ -85,17 +85,41 @@ def test_files_round_trip(docs, rows, tmp_path):
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start) if r.doc_id is not None]
     assert order == sorted(order)
     s = docs.sparkSession.read.parquet(path).orderBy(F.desc("n")).first().asDict()
-    whole = files.expand(np.frombuffer(s["symbols"], "<u4"), np.frombuffer(s["rules"], "<u4").reshape(-1, 2), s["base"])
-    assert (files.decode_range(s, 17, 100) == whole[17:117]).all()
+    whole = files.expand(files.unpacked(s["symbols"], s["width"], s["n_symbols"]), *files.grammar(s), s["base"])
+    assert len(whole) == s["n"] and 8 * len(s["symbols"]) < s["width"] * s["n_symbols"] + 8 * s["width"]
+    for start, n in ((17, 100), (0, 1), (s["n"] - 3, 3), (5, 0), (0, s["n"])):
+        assert (files.decode_range(s, start, n) == whole[start : start + n]).all()
 
 
 def test_grammar_shrinks_what_repeats():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
     rules, spans, symbols = files.compress(ids, 50, least=4)
-    assert len(symbols) < len(ids) / 8 and (files.expand(symbols, rules, 50) == ids).all()
+    assert len(symbols) < len(ids) / 100 and (files.expand(symbols, rules, spans, 50) == ids).all()
+    rules, spans, symbols = files.compress(np.full(100_000, 7, np.uint32), 50)
+    assert len(symbols) < 60 and (files.expand(symbols, rules, spans, 50) == 7).all() and spans.sum() > 0
     odd = np.array([1, 1, 1, 2, 1, 1], np.uint32)
     rules, spans, symbols = files.compress(odd, 9, least=1)
-    assert (files.expand(symbols, rules, 9) == odd).all()
+    assert (files.expand(symbols, rules, spans, 9) == odd).all()
+
+
+def test_grammar_of_random_ids_leaves_no_frequent_pair():
+    r = np.random.default_rng(3)
+    for base in (3, 9, 70_000):
+        ids = r.integers(0, min(base, 12), 3000).astype(np.uint32)
+        rules, spans, symbols = files.compress(ids, base, least=5)
+        assert (files.expand(symbols, rules, spans, base) == ids).all()
+        codes, n = np.unique(symbols[:-1].astype(np.int64) << 32 | symbols[1:], return_counts=True)
+        assert n.max() < 5
+        assert all(spans[k] == len(files.expand(np.array([base + k], np.uint32), rules, spans, base)) for k in range(len(rules)))
+
+
+def test_packed_values():
+    r = np.random.default_rng(4)
+    for width in (1, 7, 8, 9, 16, 17, 25, 32):
+        v = r.integers(0, 1 << width, 3001).astype(np.uint32)
+        data = files.packed(v, width)
+        assert len(data) <= width * 3001 // 8 + width + 1
+        assert (files.unpacked(data, width, 3001) == v).all() and (files.unpacked(data, width, 3001, 1024, 2000) == v[1024:2000]).all()
 
 
 def test_sharding(docs, rows):
