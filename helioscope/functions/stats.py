@@ -84,13 +84,15 @@ def average_ranks(values: list[float]) -> list[float]:
 
 
 def kruskal(groups: list[list[float]]) -> tuple[float, float]:
-    """(H corrected for ties, p)."""
+    """(H corrected for ties, p); both NaN where all values are equal."""
     flat = [x for g in groups for x in g]
     n, ranks, at, total = len(flat), average_ranks(flat), 0, 0.0
     for g in groups:
         total += sum(ranks[at : at + len(g)]) ** 2 / len(g)
         at += len(g)
     ties = sum(c**3 - c for c in (flat.count(x) for x in set(flat)))
+    if ties == n**3 - n:
+        return math.nan, math.nan
     h = (12 / (n * (n + 1)) * total - 3 * (n + 1)) / (1 - ties / (n**3 - n))
     return h, chi2_tail(h, len(groups) - 1)
 
