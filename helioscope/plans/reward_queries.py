@@ -34,7 +34,7 @@ BASE = f"{SILVER_SQL}, {TIMED}, {MEMBERS}, {SHARES}, {SCORERS}"
 
 def found(spark, d):
     rows, times, w = frames(spark, d)
-    cells = R.spikes(rows, times, w, **SPIKE)
+    cells = R.spikes(rows, times, w, **SPIKE).cache()
     return R.events(cells, rows, times), rows, times, w
 
 
