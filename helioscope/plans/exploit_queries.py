@@ -131,7 +131,8 @@ SELECT s5.netuid, round(avg(nv), 9) AS mean_validators, round(avg(va), 9) AS val
 FROM s5 LEFT JOIN a5 USING (netuid, t) JOIN v5 ON v5.netuid = s5.netuid GROUP BY 1""")
 def scoring_markets(spark, d):
     rows, times, w = frames(spark, d)
-    done = V.scoring(M.scorer_metrics(rows, times, w, **COPY), rows, times, M.contested(rows, w))
+    rows, times, w = rows.cache(), times.cache(), w.cache()
+    done = V.scoring(M.scorer_metrics(rows, times, w, **COPY).cache(), rows, times, M.contested(rows, w).cache())
     done = done.select("netuid", "mean_validators", "validator_agreement", "low_agreement", "non_independent_div_share", "effective_scorer_ratio", F.round("contested_tao", 6).alias("contested_tao"), F.round("contested_alpha", 6).alias("contested_alpha"), "contested_subnet_share")
     return nine(done, "mean_validators", "validator_agreement", "non_independent_div_share", "effective_scorer_ratio", "contested_subnet_share")
 

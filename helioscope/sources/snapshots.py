@@ -79,8 +79,8 @@ def unwrapped(c: Column, depth: int = 3) -> Column:
 
 
 def scalar(c: Column) -> Column:
-    """A number from JSON text: plain, true or false, in a list of one, or under "value", else "bits"; otherwise null."""
-    one = F.when(_is_list(c), F.when(F.size(_listed(c)) == 1, F.get(_listed(c), F.lit(0)))).otherwise(c)
+    """A number from JSON text: plain, true or false, the first of a list, or under "value", else "bits"; otherwise null."""
+    one = F.when(_is_list(c), F.get(_listed(c), F.lit(0))).otherwise(c)
     inner = F.when(one.startswith("{"), F.coalesce(F.get_json_object(one, "$.value"), F.get_json_object(one, "$.bits"))).otherwise(one)
     return F.when(inner == "true", 1.0).when(inner == "false", 0.0).otherwise(inner.try_cast("double"))
 
@@ -104,7 +104,7 @@ def vector(df: DataFrame, field: str, keys: Sequence[str], read=scalar) -> DataF
 
 
 def matrix(df: DataFrame, field: str, keys: Sequence[str], n: str) -> DataFrame:
-    """(*keys, src, dest, w) of a field: rows [src, [[dest, w], ...]], rows of pairs, or dense rows. dest outside 0 .. n - 1 is dropped; of equal cells the last one counts."""
+    """(*keys, src, dest, w) of a field: rows [src, [[dest, w], ...]], rows of pairs, or dense rows. src or dest outside 0 .. n - 1 is dropped; of equal cells the last one counts."""
     rows = df.select(*keys, F.col(n).alias("_n"), F.posexplode(_listed(F.col(field))).alias("_at", "_row"))
     of = lambda k: F.get(_listed(F.col("_row")), F.lit(k))
     keyed = (F.size(_listed(F.col("_row"))) == 2) & _is_list(of(1)) & ~_is_list(of(0))
@@ -112,4 +112,4 @@ def matrix(df: DataFrame, field: str, keys: Sequence[str], n: str) -> DataFrame:
     cell = lambda k: F.get(_listed(F.col("_x")), F.lit(k))
     pair = _is_list(F.col("_x"))
     cells = rows.select(*keys, "_n", F.struct("_at", "_col").alias("_order"), "src", F.when(pair, cell(0).try_cast("int")).otherwise(F.col("_col")).alias("dest"), F.when(pair, scalar(cell(1))).otherwise(scalar(F.col("_x"))).alias("w"))
-    return cells.filter("src is not null and dest >= 0 and dest < _n and w is not null").groupBy(*keys, "src", "dest").agg(F.max_by("w", "_order").alias("w"))
+    return cells.filter("src >= 0 and src < _n and dest >= 0 and dest < _n and w is not null").groupBy(*keys, "src", "dest").agg(F.max_by("w", "_order").alias("w"))

@@ -25,12 +25,12 @@ def test_blocks(spark, tmp_path):
 
 
 def test_layouts(spark):
-    scalars = {"5": 5.0, "[2]": 2.0, '{"value": 3}': 3.0, '{"bits": 4}': 4.0, "true": 1.0, "[1,2]": None, "x": None, None: None}
+    scalars = {"5": 5.0, "[2]": 2.0, '{"value": 3}': 3.0, '{"bits": 4}': 4.0, "true": 1.0, "[1,2]": 1.0, "[]": None, "x": None, None: None}
     rows = spark.createDataFrame([(k,) for k in scalars], "c string")
     assert {r.c: r.v for r in rows.withColumn("v", sn.scalar(rows["c"])).collect()} == scalars
     vectors = spark.createDataFrame([(1, "[[1,2,3]]"), (2, "[]"), (3, None), (4, '[{"value":7},null]'), (5, "[[3,1],[3,2]]"), (6, "bad")], "k int, v string")
     assert sorted(tuple(r) for r in sn.vector(vectors, "v", ["k"]).collect()) == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (4, 0, 7.0), (5, 3, 2.0)]
     keys = spark.createDataFrame([(1, '["a","",{"ss58":"b"}]')], "k int, v string")
     assert sorted((r.uid, r.value) for r in sn.vector(keys, "v", ["k"], sn.account).collect()) == [(0, "a"), (2, "b")]
-    m = spark.createDataFrame([(1, 3, "[[2,[[0,5],[9,1],[0,6]]]]"), (2, 2, "[[1,2],[3,4]]"), (3, 3, "[[[1,5]],[]]"), (4, 3, "[]"), (5, 3, None)], "k int, n int, m string")
+    m = spark.createDataFrame([(1, 3, "[[2,[[0,5],[9,1],[0,6]]],[7,[[0,8]]]]"), (2, 2, "[[1,2],[3,4]]"), (3, 3, "[[[1,5]],[]]"), (4, 3, "[]"), (5, 3, None)], "k int, n int, m string")
     assert sorted(tuple(r) for r in sn.matrix(m, "m", ["k"], "n").collect()) == [(1, 2, 0, 6.0), (2, 0, 0, 1.0), (2, 0, 1, 2.0), (2, 1, 0, 3.0), (2, 1, 1, 4.0), (3, 0, 1, 5.0)]
