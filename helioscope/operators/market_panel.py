@@ -34,7 +34,7 @@ def miner_metrics(rows: DataFrame) -> DataFrame:
         F.count_if("is_registered_miner").alias("n_registered_miners"),
         F.avg(F.when(F.col("exists"), F.col("active"))).alias("active_share"),
         F.avg(F.when(miner, F.col("replaced").cast("double"))).alias("replacement_rate"),
-        F.sum(F.when(F.col("uid") == F.col("owner_uid"), F.col("inc_share"))).alias("burn_share"),
+        F.coalesce(F.sum(F.when(F.col("uid") == F.col("owner_uid"), F.col("inc_share"))), F.lit(0.0)).alias("burn_share"),  # an empty slot earns nothing
         (F.sum("_gap") / 2).alias("cons_inc_gap"),
         F.when(F.first("t") > 0, F.count_if(F.col("_moved") & miner & ~F.col("replaced")) / F.greatest(F.count_if(miner), F.lit(1))).alias("miner_weight_setter_share"),
     )

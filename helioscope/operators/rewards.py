@@ -177,7 +177,7 @@ def mechanism(rows: DataFrame, burn: float = 0.5, top1: float = 0.5, top10: floa
     """(netuid, top1_share, top10_share, effective_miners, burn_share, mechanism_type) from medians over snapshots that pay miners."""
     own = shares(rows)
     ranked = own.withColumn("_n", F.row_number().over(Window.partitionBy(*K).orderBy(F.desc("miner_emi_share"), "uid")))
-    each = ranked.groupBy(*K).agg(F.max("miner_emi_share").alias("a"), F.sum(F.when(F.col("_n") <= 10, F.col("miner_emi_share"))).alias("b"), F.sum(F.col("miner_emi_share") * F.col("miner_emi_share")).alias("c"), F.sum(F.when(F.col("uid") == F.col("owner_uid"), F.col("inc_share"))).alias("d"))
+    each = ranked.groupBy(*K).agg(F.max("miner_emi_share").alias("a"), F.sum(F.when(F.col("_n") <= 10, F.col("miner_emi_share"))).alias("b"), F.sum(F.col("miner_emi_share") * F.col("miner_emi_share")).alias("c"), F.coalesce(F.sum(F.when(F.col("uid") == F.col("owner_uid"), F.col("inc_share"))), F.lit(0.0)).alias("d"))
     live = lambda x: F.percentile(F.when(F.col("c") > 0, x), 0.5)
     out = each.groupBy("netuid").agg(live(F.col("a")).alias("top1_share"), live(F.col("b")).alias("top10_share"), live(1 / F.greatest(F.col("c"), F.lit(1e-12))).alias("effective_miners"), F.percentile("d", 0.5).alias("burn_share"))
     kind = F.when(F.col("burn_share") >= burn, "burn_dominated").when(F.col("top1_share") >= top1, "winner_take_all").when(F.col("top10_share") >= top10, "concentrated").otherwise("distributed")

@@ -30,7 +30,7 @@ e1 AS (SELECT netuid, t, emission AS x, row_number() OVER (PARTITION BY netuid,
 e AS (SELECT netuid, t, CAST(sum(x) FILTER (i <= 10) AS DOUBLE) / CAST(sum(x) AS DOUBLE) AS top10_share, CAST(sum(CAST(x AS HUGEINT) * x) AS DOUBLE) / (CAST(sum(x) AS DOUBLE) * CAST(sum(x) AS DOUBLE)) AS hhi_emission FROM e1 GROUP BY 1, 2),
 r1 AS (SELECT netuid, t, 2 * rank() OVER (PARTITION BY netuid, t ORDER BY incentive) + count(*) OVER (PARTITION BY netuid, t, incentive) - 1 AS x, 2 * rank() OVER (PARTITION BY netuid, t ORDER BY pi) + count(*) OVER (PARTITION BY netuid, t, pi) - 1 AS y FROM p2 WHERE pt = t - 1 AND pm AND is_miner AND NOT replaced),
 r AS (SELECT netuid, t, CASE WHEN count(*) >= 5 AND count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN corr(x, y) END AS rank_corr FROM r1 GROUP BY 1, 2)
-SELECT netuid, t, n_uids, n_miners, n_registered_miners, round(active_share, 9) AS active_share, round(replacement_rate, 9) AS replacement_rate, round(burn_share, 9) AS burn_share, round(cons_inc_gap, 9) AS cons_inc_gap, round(setters, 9) AS miner_weight_setter_share,
+SELECT netuid, t, n_uids, n_miners, n_registered_miners, round(active_share, 9) AS active_share, round(replacement_rate, 9) AS replacement_rate, round(coalesce(burn_share, 0), 9) AS burn_share, round(cons_inc_gap, 9) AS cons_inc_gap, round(setters, 9) AS miner_weight_setter_share,
 round(gini_inc, 9) AS gini_inc, round(top10_share, 9) AS top10_share, round(hhi_emission, 9) AS hhi_emission, round(rank_corr, 9) AS rank_corr FROM m LEFT JOIN g USING (netuid, t) LEFT JOIN e USING (netuid, t) LEFT JOIN r USING (netuid, t)""")
 def market_miners(spark, d):
     done = M.miner_metrics(frames(spark, d)[0])
