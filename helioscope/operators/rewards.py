@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import stats
 from .silver import K, flows, scorers, shares, snaps, support
@@ -16,12 +17,12 @@ from .silver import K, flows, scorers, shares, snaps, support
 SLOT = ["netuid", "uid"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([stats.chi2_tail(a, max(b, 1.0)) for a, b in zip(x, freedom, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_p(k: pd.Series, n: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series([stats.binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, rate, strict=True)])
 
