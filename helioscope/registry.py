@@ -11,6 +11,7 @@ from .plans import incident_queries as incidents
 from .plans import panel_queries as _panel_queries  # noqa: F401  (adds its queries to silver.QUERIES)
 from .plans import queries as plans
 from .plans import reward_queries as _reward_queries  # noqa: F401
+from .plans import signal_queries as _signal_queries  # noqa: F401
 from .plans import silver_queries as silver
 
 
