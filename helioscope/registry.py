@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import community_queries as _community_queries  # noqa: F401
 from .plans import exploit_queries as _exploit_queries  # noqa: F401
 from .plans import incident_queries as incidents
 from .plans import panel_queries as _panel_queries  # noqa: F401  (adds its queries to silver.QUERIES)

@@ -11,7 +11,7 @@ from helioscope import registry
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 SF = "/root/testdata/sf0.001"
 #: These need miners that stay for weeks, which the smallest tables don't have.
-LARGER = {"scoring_replacement_gap", "telemetry_likeness", "telemetry_observability"}
+LARGER = {"community_chance", "community_combined", "community_components", "community_distinct", "community_layers", "scoring_replacement_gap", "telemetry_likeness", "telemetry_observability"}
 
 
 def folder(name):
