@@ -20,17 +20,18 @@ def trailing_robust_z(rows: DataFrame, keys: list[str], t: str, value: str, leng
     """Adds median, mad and z = (x - median) / (1.4826 * MAD) over the `length` rows before.
 
     At MAD 0 the population deviation of those rows stands in, at least 1e-9. z is null in the first `length`
-    rows and with fewer than max(3, length // 2) values.
+    rows and with fewer than max(3, length // 2) values; NaN counts as missing.
     """
     w = ordered(keys, t)
-    held = rows.withColumn("_b", F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-length, -1))).withColumn("_at", F.row_number().over(w))
+    held = rows.withColumn("_b", F.collect_list(F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))).over(w.rowsBetween(-length, -1))).withColumn("_at", F.row_number().over(w))
     middle = lambda a: f"(get(array_sort({a}), int((size({a}) - 1) div 2)) + get(array_sort({a}), int(size({a}) div 2))) / 2.0D"
     total = lambda e: f"aggregate(_b, 0D, (s, v) -> s + {e})"
     held = held.withColumn("median", F.expr(f"case when size(_b) >= {max(3, length // 2)} then {middle('_b')} end"))
     held = held.withColumn("_d", F.expr("transform(_b, v -> abs(v - median))")).withColumn("mad", F.expr(f"case when median is not null then {middle('_d')} end"))
-    spread = F.expr(f"greatest(sqrt(greatest(size(_b) * {total('v * v')} - {total('v')} * {total('v')}, 0D)) / size(_b), 1e-9D)")
+    held = held.withColumn("_m", F.expr(f"{total('v')} / nullif(size(_b), 0)"))
+    spread = F.expr(f"case when array_min(_b) < array_max(_b) then greatest(sqrt({total('(v - _m) * (v - _m)')} / nullif(size(_b), 0)), 1e-9D) else 1e-9D end")
     z = (F.col(value) - F.col("median")) / F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(spread)
-    return held.withColumn("z", F.when((F.col("_at") > length) & F.col("mad").isNotNull(), z)).drop("_b", "_d", "_at")
+    return held.withColumn("z", F.when((F.col("_at") > length) & F.col("mad").isNotNull(), z)).drop("_b", "_d", "_m", "_at")
 
 
 def sessions(rows: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:

@@ -50,7 +50,7 @@ def signal_scores(panel: DataFrame, times: DataFrame, signals: Sequence[str], da
     told = met.groupBy("netuid", "signal", "t", "v", "span").agg(F.percentile("_v", 0.5).alias("median"), F.collect_list("_v").alias("b")).filter("size(b) >= greatest(3, span div 2)")
     told = told.withColumn("mean", F.expr("aggregate(b, 0D, (s, x) -> s + x) / size(b)")).withColumn("sd", F.expr("sqrt(aggregate(b, 0D, (s, x) -> s + (x - mean) * (x - mean)) / size(b))"))
     told = told.withColumn("d", F.expr("array_sort(transform(b, x -> abs(x - median)))")).withColumn("mad", F.expr("(d[int((size(d) - 1) div 2)] + d[int(size(d) div 2)]) / 2"))
-    spread = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.greatest("sd", F.lit(1e-9)))
+    spread = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.when(F.array_min("b") < F.array_max("b"), F.greatest("sd", F.lit(1e-9))).otherwise(1e-9))
     scores = told.select("netuid", "signal", "t", F.abs((F.col("v") - F.col("median")) / spread).alias("score"))
     return long.select(*K, "signal").join(scores, [*K, "signal"], "left")
 

@@ -5,6 +5,7 @@ import math
 import pytest
 
 from helioscope.operators import signals as G
+from helioscope.operators.sequences import trailing_robust_z
 from helioscope.sources.results import Results, markdown, report
 
 
@@ -61,6 +62,12 @@ def test_scores_of_a_flat_past(spark):
     assert all(got[t] is None for t in range(7)) and got[7] == 0 and got[9] == pytest.approx(1e9)
 
 
+def test_robust_z_of_large_equal_values(spark):
+    rows = spark.createDataFrame([(1, t, float("nan") if t == 2 else 1e9 + 0.1 + (t == 7)) for t in range(8)], "g int, t int, x double")
+    got = {r["t"]: r["z"] for r in trailing_robust_z(rows, ["g"], "t", "x", 6).collect()}
+    assert got[6] == 0 and got[7] == pytest.approx(1e9, rel=1e-6)
+
+
 def test_jaccard_of_empty_sets(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["b", "c"]), (2, [], [])], "k int, a array<string>, b array<string>")
     assert [r["j"] for r in rows.orderBy("k").select(G.jaccard(rows.a, rows.b).alias("j")).collect()] == [pytest.approx(1 / 3), None]
