@@ -288,6 +288,47 @@ def test_quality_cutoffs_equal_brute_force():
     assert got == want and got[0] == 0.995 and got[3] == float("inf")
 
 
+def test_quality_fit_equals_brute_force_on_all_labelled_rows(spark):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    n, risk, error, r = 25_600, 0.01, 0.05, random.Random(9)  # more rows than the 24,000 that were once drawn by hash; those they left out hold "vile"
+    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 40)) >= 24_000 / n * (1 << 40)
+    part, vile = zip(*((x.part, x.vile) for x in spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(6)).alias("part"), drawn.alias("vile")).orderBy("id").collect()), strict=True)
+    poor = [r.random() < 0.2 for _ in range(n)]
+    toxic = [v or i % 50 == 0 for i, v in enumerate(vile)]
+    langs = [r.choices(["en", "de", "fr"], [80, 18, 2])[0] for _ in range(n)]
+    texts = [sentence(r, 52) + " vile" * v + " #" * r.randint(0, 12 if p else 3) + " X" * r.randint(0, 9 if p else 4) for v, p in zip(vile, poor, strict=True)]
+    docs = spark.createDataFrame(list(zip(range(n), texts, langs, strict=True)), "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, int(not p), int(t)) for i, (p, t) in enumerate(zip(poor, toxic, strict=True))], "doc_id long, quality int, toxic int")
+    marked, cutoffs = quality.fit(docs, labels, risk, error)
+
+    assert all("vile" in marked[x] for x in ("en", "de", "fr", ""))
+    m, ratios = quality.measures(pa.array(texts), marked, pa.array(langs))
+    lang, part, clean = np.array(langs), np.array(part), ~np.array(poor) & ~np.array(toxic)
+    used = ~quality.base_failed(m)
+    want = {}
+    for name in ("en", "de", ""):  # French is too small for a stratum, and so alone in "", which then takes all
+        rows = used & ((lang == name) if name else True)
+        a, b = rows & (part == 2), ratios[rows & (part > 2) & clean]
+        grids = [np.unique(np.quantile(quality.coarse(ratios[a & ~clean, j]), np.linspace(0, 1, 64), method="lower"))[::-1] for j in range(len(quality.RATIOS))]
+        over, fell, notch, want[name], going = np.zeros(a.sum(), bool), np.zeros(len(b), bool), [0] * len(grids), [float("inf")] * len(grids), True
+        while True:
+            gains = [[int(np.where(clean[a], -10, 1)[~over & (ratios[a, j] >= c)].sum()) for c in grid] for j, grid in enumerate(grids)]
+            j = int(np.argmax([max(g) for g in gains]))
+            if max(gains[j]) <= 0:
+                break
+            k = int(np.argmax(gains[j]))
+            for c in grids[j][notch[j] : k + 1]:
+                fell |= b[:, j] >= c
+                going = going and quality.upper_bound(int(fell.sum()), len(b), error / 4) <= risk
+                want[name][j] = float(c) if going else want[name][j]
+            notch[j] = k + 1
+            over |= ratios[a, j] >= grids[j][k]
+    assert cutoffs == want and all(np.isfinite(c[-1]) and np.isfinite(c[0]) for c in want.values())
+
+
 def test_pii_matches_the_patterns():
     r = random.Random(5)
     digits = lambda s: re.sub("[^0-9]", "", s)
