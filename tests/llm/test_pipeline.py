@@ -55,6 +55,18 @@ def test_stages_keep_columns_of_any_name(spark, folder, name):
     assert stage(spark, docs.limit(0), path).collect() == []
 
 
+def test_quality_stage_learns_from_every_labelled_row(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    n, text = 24_800, " ".join(WORDS[:55])  # the 24,000 rows that were once drawn by hash had no "vile"
+    left_out = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) >= 24_000 / n * (1 << 40)
+    rows = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("vile", left_out)
+    rows.selectExpr("doc_id", "1 quality", "int(vile) toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = rows.select("doc_id", F.concat(F.lit(text), F.when(F.col("vile"), " vile").otherwise("")).alias("text"), F.lit("en").alias("lang"))
+    kept = pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in rows.filter("not vile").collect())
+
+
 def test_whole_pipeline_equals_brute_force(spark, folder):
     import numpy as np
     import tokenizers
