@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import heavy_join, materialize, pieces, small_batches, trim
+from .shared import among, bitmaps, heavy_join, materialize, pieces, small_batches, trim
 
 SHINGLE, BANDS, WIDTH = 5, 30, 4
 REGISTERS = BANDS * WIDTH
@@ -198,12 +198,17 @@ def exact_edges(docs: DataFrame, members: DataFrame, numerator: int, denominator
     """(a, b): links that join the exact components of each group (fam, i, j) of members: (fam, row, doc_id, t, c1, c2, i, j).
 
     Members find their texts by doc_id and the text's hash, so null or repeated doc_ids are no hot key; of copies that
-    one task meets, one is passed on.
+    one task meets, one is passed on. Where members are too many to be broadcast, a bit of each one's hash is, so that
+    hardly any text is shuffled but theirs.
     """
     wanted = members.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "t", "c1", "c2", "fam", "row", "i", "j")
-    if wanted.count() <= largest_broadcast:  # 70 bytes a row
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("t"), "text")
+    if (n := wanted.count()) <= largest_broadcast:  # 70 bytes a row
         wanted = F.broadcast(wanted)
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("t"), "text").join(wanted, ["_id", "t"])
+    else:
+        slot = F.pmod(F.xxhash64("_id", "t"), F.lit(min(1 << 28, 16 << n.bit_length()))).alias("slot")  # 35 MB at most
+        texts = among(texts.select("*", slot), "slot", materialize(bitmaps(wanted.select(slot)), f"{label}-bits")).drop("slot")
+    found = texts.join(wanted, ["_id", "t"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple] = set()

@@ -100,6 +100,22 @@ def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, t
     return rows.join(F.broadcast(heavy), keys, "inner").unionByName(rest.join(light, keys, how))
 
 
+def bitmaps(ids: DataFrame) -> DataFrame:
+    """(chunk, bits): the numbers (long, not negative) of ids' only column as bitmaps: 4096 numbers a chunk, 64 a word; chunks without any have no row."""
+    (name,) = ids.columns
+    words = ids.select(F.shiftright(name, 6).alias("word"), F.expr(f"shiftleft(1L, cast({name} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    entry = F.struct(F.expr("cast(word & 63 as int)").alias("word"), "bits")
+    packed = words.groupBy(F.shiftright("word", 6).alias("chunk")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    return packed.select("chunk", F.expr("transform(sequence(0, 63), w -> coalesce(m[w], 0L))").alias("bits"))
+
+
+def among(rows: DataFrame, number: str, maps: DataFrame) -> DataFrame:
+    """The rows whose column `number` is in `maps` (of bitmaps()), which is broadcast, about 540 bytes a chunk: rows stay where they lie."""
+    chunk, bits = fresh(rows, "_chunk", "_bits")
+    met = rows.withColumn(chunk, F.shiftright(number, 12)).join(F.broadcast(maps.toDF(chunk, bits)), chunk)
+    return met.filter(f"bit_get(get({bits}, cast(({number} >> 6) & 63 as int)), cast({number} & 63 as int)) = 1").drop(chunk, bits)
+
+
 def pieces(batch: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Cuts a string array into runs of about `most` bytes, so that a batch of long texts takes bounded memory; yields (start, run)."""
     sizes = np.zeros(len(batch), np.int64)

@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from functools import partial
 
 import pytest
 
 pytest.importorskip("xxhash")
 pytest.importorskip("ahocorasick")
 
-from helioscope.llm import html_text, pii, quality  # noqa: E402
+from helioscope.llm import html_text, near_dedup, pii, quality, shared  # noqa: E402
 from helioscope.llm.components import components  # noqa: E402
 from helioscope.llm.decontaminate import edit_distance, find_leaks, without_leaks  # noqa: E402
 from helioscope.llm.hd_language import identify  # noqa: E402
@@ -120,6 +121,34 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter([(1, a), (3, b), (None, c), (7, d), (8, None), (8, " ")])
 
 
+def test_near_dedup_moves_no_text_of_what_it_keeps(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    rows = [(i if i % 9 else None, sentence(r, 30)) for i in range(300)]
+    rows += [(i + 1000, rows[i][1] + " more") for i in range(0, 300, 4)]
+    docs, got = made(spark, rows), {}
+    monkeypatch.setattr(near_dedup, "exact_edges", partial(near_dedup.exact_edges, largest_broadcast=0))
+    with_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if all tables were large
+    try:
+        for most in (corpus_pipeline.MOST_CHUNKS, 0):
+            monkeypatch.setattr(corpus_pipeline, "MOST_CHUNKS", most)
+            kept = corpus_pipeline.near_dedup(spark, docs, "")
+            got[most] = Counter((x.doc_id, x.text) for x in kept.collect()), "Exchange hashpartitioning" in kept._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
+    want = Counter(rows[:300]) - Counter((None, rows[i][1]) for i in range(0, 300, 36)) + Counter((i + 1000, rows[i][1] + " more") for i in range(0, 300, 36))
+    assert list(got.values()) == [(want, False), (want, True)]
+
+
+def test_bitmaps(spark):
+    ids = [0, 63, 64, 4095, 4096, 9000, 1 << 33, (5 << 33) + 77, (1 << 62) + 1]
+    rows = spark.createDataFrame([(i, "a") for x in ids for i in (x, x + 1)] + [(64, "b")], "n long, _chunk string")
+    got = shared.among(rows, "n", shared.bitmaps(spark.createDataFrame([(x,) for x in [*ids, 64]], "n long")))
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == sorted([(i, "a") for x in ids for i in (x, x + 1) if i in ids] + [(64, "b")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), *[(200, i) for i in range(201, 260)]]
     got = {r.row: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
